@@ -17,7 +17,8 @@ def round_half_up(value: Column, digits: int) -> Column:
 def age_in_days(stamp: Column, as_of: Column) -> Column:
     """Whole 24-hour days between two timestamps, never negative; null when unknown."""
     seconds = F.unix_timestamp(as_of) - F.unix_timestamp(stamp)
-    return F.greatest(F.floor(seconds / 86400), F.lit(0)).cast("int")
+    # greatest() ignores nulls, so the unknown case is kept apart
+    return F.when(seconds.isNotNull(), F.greatest(F.floor(seconds / 86400), F.lit(0)).cast("int"))
 
 
 def parse_stamp(text: Column) -> Column:

@@ -9,7 +9,7 @@ the number of insertions and deletions), every other row passes null.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from demandscope import labels
 from demandscope.config import THRESHOLDS
@@ -29,7 +29,7 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [None if x is None or y is None else _lcs(x, y) for x, y in zip(a, b)], dtype="Int32"

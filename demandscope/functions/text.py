@@ -26,6 +26,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def strip(text: Column) -> Column:
+    """Without leading and trailing whitespace of any kind (``trim`` removes spaces only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def normalize_term(term: Column) -> Column:
     """Lower case, ASCII letters, digits and ``-+&'`` only, single spaces."""
     kept = F.regexp_replace(F.lower(term), r"[^a-z0-9\s\-+&']", " ")

@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from demandscope.config import REPLY_CATEGORIES, REPLY_INTENTS
 from demandscope.functions.scalar import round_half_up
-from demandscope.functions.text import tokens
+from demandscope.functions.text import strip, tokens
 
 
 def reply_json(reply: Column) -> Column:
     """The JSON text inside a reply: reasoning and code fences removed, else the outer span."""
-    bare = F.trim(F.regexp_replace(
+    bare = strip(F.regexp_replace(
         F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", ""))
     span = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     return F.when(F.try_parse_json(bare).isNotNull() & bare.rlike(r"^\s*[\{\[]"), bare).when(
@@ -29,8 +29,8 @@ def parse_verdicts(replies: DataFrame) -> DataFrame:
     """Replies (``term, storefront, reply``) to verdict columns plus ``accepted``."""
     field = lambda name: F.get_json_object("_json", f"$.{name}")
     has = lambda name: F.array_contains(F.json_object_keys("_json"), name)
-    category = F.lower(F.trim(field("category")))
-    intent = F.lower(F.trim(field("intent")))
+    category = F.lower(strip(field("category")))
+    intent = F.lower(strip(field("intent")))
     confidence = F.expr("try_cast(get_json_object(_json, '$.confidence') as double)")
     accepted = F.coalesce(
         F.col("_json").startswith("{") & category.isin(*REPLY_CATEGORIES) & has("intent") & has("confidence"),
@@ -43,8 +43,8 @@ def parse_verdicts(replies: DataFrame) -> DataFrame:
             F.when(F.col("accepted"), category).alias("category"),
             F.when(F.col("accepted"), F.when(intent.isin(*REPLY_INTENTS), intent)
                    .otherwise("transactional")).alias("intent"),
-            F.when(F.col("accepted"), F.coalesce(
-                F.greatest(F.lit(0.0), F.least(confidence, F.lit(1.0))), F.lit(0.5))).alias("confidence"),
+            F.when(F.col("accepted"), F.when(confidence.isNull(), 0.5).otherwise(
+                F.greatest(F.lit(0.0), F.least(confidence, F.lit(1.0))))).alias("confidence"),
             F.when(F.col("accepted"), F.coalesce(F.nullif(field("niche_name"), F.lit("")), F.col("term"))
                    .substr(1, 60)).alias("niche_name"),
             F.when(F.col("accepted"), F.coalesce(field("note"), F.lit("")).substr(1, 200)).alias("note"))
@@ -68,7 +68,7 @@ def parse_proposals(replies: DataFrame, limit: int = 8) -> DataFrame:
     """
     ideas = F.from_json(F.get_json_object("_json", "$.ideas"), "array<struct<query: string, why: string>>")
     trimmed = F.transform(ideas, lambda i: F.struct(
-        F.lower(F.trim(i["query"])).alias("query"),
+        F.lower(strip(i["query"])).alias("query"),
         F.coalesce(i["why"], F.lit("")).substr(1, 160).alias("why")))
     usable = F.filter(trimmed, lambda i: (F.size(tokens(i["query"])) >= 2) & (F.length(i["query"]) <= 60))
     first = lambda i, at: F.array_position(F.col("_queries"), i["query"]) == at + 1

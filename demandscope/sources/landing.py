@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from demandscope.functions.scalar import age_in_days, parse_stamp
-from demandscope.functions.text import normalize_term
+from demandscope.functions.text import normalize_term, strip
 from demandscope.schemas import RAW_APP, RAW_POPULARITY
 
 
@@ -24,14 +24,14 @@ def read_popularity(spark: SparkSession, path: str) -> DataFrame:
 
 def flatten_apps(raw: DataFrame, taken_at: Column) -> DataFrame:
     """Raw app records to the fields the features use; ages are as of the snapshot."""
-    description = F.trim(F.coalesce("description", F.lit("")))
+    description = strip(F.coalesce("description", F.lit("")))
     paid = F.coalesce(F.col("price") > 0, F.lit(False))
     updated = parse_stamp(F.col("currentVersionReleaseDate"))
     released = parse_stamp(F.col("releaseDate"))
     no_strings = F.array().cast("array<string>")
     return raw.select(
         F.col("trackId").alias("track_id"), F.col("bundleId").alias("bundle_id"),
-        F.trim(F.coalesce("trackName", F.lit(""))).alias("title"),
+        strip(F.coalesce("trackName", F.lit(""))).alias("title"),
         F.substring_index(description, "\n", 1).substr(1, 120).alias("subtitle"),
         F.col("sellerName").alias("seller"),
         F.coalesce("genres", no_strings).alias("genres"), F.col("primaryGenreName").alias("primary_genre"),
@@ -79,7 +79,7 @@ def parse_popularity(raw: DataFrame, granularity: str, pulled_at: Column) -> Dat
     """Popularity records to table rows; rows without a term are dropped."""
     period = F.coalesce(F.nullif("week", F.lit("")), F.nullif("month", F.lit("")))
     return raw.select(
-        F.trim(F.lower("searchTerm")).alias("term"), F.lower("countryOrRegion").alias("country"),
+        strip(F.lower("searchTerm")).alias("term"), F.lower("countryOrRegion").alias("country"),
         F.coalesce("genre", F.lit("")).alias("genre"), F.try_to_date(period).alias("period"),
         F.lit(granularity).alias("granularity"),
         F.col("rankInGenre").alias("rank_in_genre"), F.col("searchPopularityInGenre").alias("pop_in_genre"),
@@ -110,8 +110,8 @@ def project_facts(rows: DataFrame, loaded_at: Column, storefront: str = "us") ->
         raise ValueError(f"no column names a term: {rows.columns}")
     pick = lambda n: F.col(f"`{found[n]}`") if found[n] else F.lit(None)
     return rows.select(
-        F.trim(F.lower(pick("term").cast("string"))).alias("term"),
-        F.trim(F.lower(F.coalesce(pick("storefront").cast("string"), F.lit(storefront)))).alias("storefront"),
+        strip(F.lower(pick("term").cast("string"))).alias("term"),
+        strip(F.lower(F.coalesce(pick("storefront").cast("string"), F.lit(storefront)))).alias("storefront"),
         loaded_at.alias("loaded_at"),
         pick("popularity").cast("double").alias("popularity"),
         pick("difficulty").cast("double").alias("difficulty"), pick("rank").cast("int").alias("rank"),
