@@ -49,7 +49,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     lowest = both.groupBy("storefront", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
         both.filter(F.col("v") > F.col("u")).join(lowest, ["storefront", "u"])
-        .select("storefront", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        .select("storefront", F.col("v").alias("u"), F.col("m").alias("v"))
     )
 
 

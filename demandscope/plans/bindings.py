@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from demandscope.config import POPULARITY_DEPTH, STOREFRONTS
 from demandscope.functions.text import normalize_term, tokens, words
@@ -345,6 +345,10 @@ def raw_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads_of(table(spark, sf_dir, "documents"))
+
+
+def payloads_of(documents: DataFrame) -> DataFrame:
     """Documents as suggestion payloads in the three accepted shapes, plus junk."""
     lines = F.transform(F.split("text", "\n"), lambda t: F.trim(F.regexp_replace(
         F.substring_index(t, " ", 4), r'[\\"\t\r]', "")))
@@ -358,7 +362,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.concat(F.lit('{"suggestions": ['), as_object, F.lit("]}")))
         .when(kind == 3, F.concat(F.lit("["), as_text, F.lit("]")))
         .otherwise(F.lit('{"error": 1}')))
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("storefront"), payload.alias("payload"))
+    return documents.select("doc_id", F.col("lang").alias("storefront"), payload.alias("payload"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,6 +372,3 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size").cast("double").alias("ZPOPULARITY"), (F.col("p_partkey") % 100).cast("double").alias("ZDIFFICULTY"),
         F.col("p_partkey").cast("int").alias("Z_PK"))
 
-
-def event_time(column: str) -> Column:
-    return F.col(column).cast("timestamp")

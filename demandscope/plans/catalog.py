@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -22,8 +23,9 @@ from demandscope.operators.features import fingerprint, leader_id, with_features
 from demandscope.operators.rating import with_rating
 from demandscope.operators.scoring import FACTORS
 from demandscope.plans import bindings as B, niches as N, rescore as RS
-from demandscope.session import stage
+from demandscope.session import stage, staging_root
 from demandscope.sources import landing, tables
+from demandscope.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,8 +189,12 @@ def popularity_lookup(spark, sf):
 
 
 def _raw_popularity(spark, sf):
+    return _raw_popularity_of(B.table(spark, sf, "part"))
+
+
+def _raw_popularity_of(parts):
     part = F.col("p_partkey")
-    return B.table(spark, sf, "part").select(
+    return parts.select(
         F.when(part % 10 == 9, " ").otherwise(F.concat(F.lit(" "), F.initcap("p_name"))).alias("searchTerm"),
         F.when(part % 2 == 0, "US").otherwise("GB").alias("countryOrRegion"), F.col("p_type").alias("genre"),
         F.when(part % 3 == 0, F.date_add(F.lit(date(2001, 1, 7)), (part % 4 * 7).cast("int")).cast("string"))
@@ -938,3 +944,48 @@ def classifier_input(spark, sf):
     rows = _features(spark, sf).withColumn("variants", F.filter(
         F.array("top1_seller", F.split_part("term", F.lit(" "), F.lit(1))), lambda v: v != "Google LLC"))
     return R.classifier_input(rows)
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+def _stream(spark, sf, name):
+    return ingest.file_stream(spark, sf, B.table(spark, sf, name).schema, f"{name}.parquet")
+
+
+def _stream_folders(spark):
+    base = f"{staging_root(spark)}/demandscope/stream-{uuid.uuid4().hex}"
+    return f"{base}/table", f"{base}/checkpoint"
+
+
+@query
+def stream_daily_metrics(spark, sf):
+    """One reading per item and day from the event stream; days behind the watermark are out."""
+    readings = _stream(spark, sf, "events").select(
+        F.col("user_id").alias("track_id"), F.lit("us").alias("storefront"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("reading_id"), F.col("value").alias("rating"), F.lit(1).alias("rating_count"))
+    table, checkpoint = _stream_folders(spark)
+    ingest.append_stream(ingest.daily_metrics(readings), table, checkpoint).awaitTermination()
+    return spark.read.parquet(table).select("track_id", "storefront", "day", "rating")
+
+
+@query
+def stream_suggestions(spark, sf):
+    """Payload files landed continuously in the suggestion table."""
+    documents = _stream(spark, sf, "documents")
+    table, checkpoint = _stream_folders(spark)
+    decoded = landing.decode_suggestions(B.payloads_of(documents)).select("storefront", "term", "position")
+    ingest.append_stream(decoded, table, checkpoint, "storefront").awaitTermination()
+    return spark.read.parquet(table).groupBy("storefront", "term").agg(
+        F.count("*").alias("n"), F.min("position").alias("position"))
+
+
+@query
+def stream_popularity(spark, sf):
+    """Popularity rows streamed twice into a keyed table; the replay changes nothing."""
+    table, checkpoint = _stream_folders(spark)
+    parsed = landing.parse_popularity(
+        _raw_popularity_of(_stream(spark, sf, "part")), "WEEKLY_SUN_SAT",
+        F.lit(B.AS_OF).cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("rankInGenre")))
+    for run in ("first", "replay"):
+        ingest.upsert_popularity(parsed, table, f"{checkpoint}-{run}").awaitTermination()
+    return spark.read.parquet(table).select("term", "country", "genre", "period", "pop_1to100")

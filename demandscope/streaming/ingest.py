@@ -48,14 +48,16 @@ def upsert_popularity(rows: DataFrame, path: str, checkpoint: str) -> StreamingQ
     Every micro-batch rewrites the partitions (granularity, period) it touches from the
     version before it, so the merge reads only those.
     """
+    order = ["pulled_at", "pop_1to100"]
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        fresh = tables.last_wins(batch.filter(F.lit(False)), batch, POPULARITY_KEY, ["pulled_at"])
+        fresh = tables.last_wins(batch.filter(F.lit(False)), batch, POPULARITY_KEY, order)
         touched = batch.select("granularity", "period").distinct()
         try:
             stored = spark.read.schema(batch.schema).parquet(path).join(touched, ["granularity", "period"], "left_semi")
-            merged = tables.last_wins(stored.select(*batch.columns), fresh, POPULARITY_KEY, ["pulled_at"])
+            merged = tables.last_wins(stored.select(*batch.columns), fresh, POPULARITY_KEY, order)
         except Exception as missing:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(missing):
                 raise

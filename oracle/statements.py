@@ -781,3 +781,11 @@ FROM (SELECT term, storefront, count(*) AS n, sum((price > 0)::INT) AS n_paid, s
     || substr(seller, 1, 40) || ' — ' || printf('%.1f', coalesce(rating, 0.0)) || ' stars, ' || rating_count || ' ratings, '
     || CASE WHEN price > 0 THEN 'paid $' || printf('%.2f', price) || ' upfront' ELSE 'free to download' END, chr(10) ORDER BY pos) AS lines
   FROM list_rows WHERE pos <= 6 GROUP BY 1, 2) JOIN features USING (term, storefront) JOIN sims USING (term, storefront)"""
+
+# --- streams ---------------------------------------------------------------------------------
+SQL["stream_daily_metrics"] = """
+SELECT user_id AS track_id, 'us' AS storefront, ts::DATE AS day, value AS rating FROM events
+WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY
+QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) = 1"""
+SQL["stream_suggestions"] = SQL["decode_suggestions"]
+SQL["stream_popularity"] = f"SELECT term, country, genre, period, pop_1to100 FROM ({SQL['popularity_upsert']})"
