@@ -12,10 +12,10 @@ from demandscope.session import Staged
 NODE = ["storefront", "term"]
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(
-        F.count("*"), F.coalesce(F.sum(F.xxhash64("storefront", "u", "v").cast("decimal(38,0)")), F.lit(0))
-    ).first())
+def _written(edges: DataFrame) -> Staged:
+    """Edges on shared storage, with their number and an order-free checksum."""
+    checksum = F.sum(F.xxhash64("storefront", "u", "v").cast("decimal(38,0)"))
+    return Staged(edges, "edges", n=F.count(F.lit(1)), checksum=checksum)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,16 +25,15 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     is a grouped minimum and a join, and the edge table turns into stars in a
     logarithmic number of rounds. Each round is written to shared storage.
     """
-    edges = Staged(links.filter(F.col("a") != F.col("b")).select(
-        "storefront", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = _signature(edges.df)
+    edges = _written(links.filter(F.col("a") != F.col("b")).select(
+        "storefront", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
-        grown = Staged(_small_star(_large_star(edges.df)), "edges")
+        moved = _written(_small_star(_large_star(edges.df)))
+        settled = moved.metrics == edges.metrics
         edges.drop()
-        edges, after = grown, _signature(grown.df)
-        if after == before:
+        edges = moved
+        if settled:
             break
-        before = after
     else:
         raise RuntimeError("components did not converge")
     stars = edges.df

@@ -17,6 +17,7 @@ from demandscope import labels
 from demandscope.functions.text import descriptor_tail, words
 
 KEY = ["term", "country", "genre"]
+_NEVER = date(1970, 1, 1)  # stands for a period that is not there
 
 
 def _scope(pop: DataFrame, granularity: str, countries: Sequence[str] | None = None) -> DataFrame:
@@ -68,7 +69,7 @@ def rank_movement(pop: DataFrame, periods: Sequence[date], granularity: str,
     """
     rows = _scope(pop, granularity, countries).filter(F.col("rank_in_genre").isNotNull())
     if len(periods) < lookback + 1:
-        rows, now, before = _empty(rows), date.min, date.min
+        rows, now, before = _empty(rows), _NEVER, _NEVER
     else:
         now, before = periods[-1], periods[-(lookback + 1)]
     at = lambda p, c: F.max(F.when(F.col("period") == F.lit(p), F.col(c)))
@@ -93,7 +94,7 @@ def new_entrants(pop: DataFrame, periods: Sequence[date], granularity: str,
     every = _scope(pop, granularity)
     newest = _scope(pop, granularity, countries)
     if len(periods) < absent + 1:
-        newest, prior, now = _empty(newest), [date.min], date.min
+        newest, prior, now = _empty(newest), [_NEVER], _NEVER
     else:
         now, prior = periods[-1], list(periods[-(absent + 1):-1])
     seen = every.filter(F.col("period").isin(prior)).select("term").distinct()
@@ -113,7 +114,7 @@ def sustained_climb(pop: DataFrame, periods: Sequence[date], granularity: str,
     """
     rows = _scope(pop, granularity, countries).filter(F.col("rank_in_genre").isNotNull())
     if len(periods) < window + 1:
-        rows, span = _empty(rows), [date.min] * (window + 1)
+        rows, span = _empty(rows), [_NEVER] * (window + 1)
     else:
         span = list(periods[-(window + 1):])
     ranks = [F.max(F.when(F.col("period") == F.lit(p), F.col("rank_in_genre"))).alias(f"r{i}")

@@ -119,10 +119,11 @@ def variant_heads(terms: DataFrame, ratio: int = T.fuzzy_dedup_ratio, max_rounds
             .groupBy("storefront", "t").agg(F.min("g").alias("g"))
         lowered = Staged(known.join(offers, ["storefront", "t"], "left").select(
             "storefront", "t", F.least("h", F.coalesce("g", "h")).alias("h"),
-            (F.coalesce("g", "h") < F.col("h")).alias("changed")), "heads")
+            (F.coalesce("g", "h") < F.col("h")).alias("lowered")), "heads",
+            n_lowered=F.count_if("lowered"))
         heads.drop()
         heads = lowered
-        if heads.df.filter("changed").isEmpty():
+        if heads.metrics["n_lowered"] == 0:
             break
     else:
         raise RuntimeError("variant heads did not settle")

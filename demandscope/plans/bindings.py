@@ -94,8 +94,10 @@ def keyword_text(part: DataFrame) -> DataFrame:
         F.when(F.col("p_type") == kind, F.lit(key)) for kind, key in (
             ("ECONOMY", "us"), ("SMALL", "gb"), ("MEDIUM", "de"), ("PROMO", "fr"), ("STANDARD", "jp"))
     ], F.lit("zz"))
+    batch = (F.col("p_partkey") - F.col("p_partkey") % 10) / 10
     return part.select(
-        "p_partkey", F.concat("p_name", F.lit(" "), F.lower(F.translate("p_brand", "#", " "))).alias("term"),
+        "p_partkey", F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" "),
+                              batch.cast("bigint").cast("string")).alias("term"),
         store.alias("storefront"), "p_size", "p_name")
 
 
@@ -127,7 +129,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "supplier").join(main, key == F.col("l_suppkey"))
         .select(
             key.alias("track_id"), title.alias("title"),
-            F.concat(F.lit("simple "), noun, F.lit("s.")).alias("subtitle"),
+            F.concat(F.lit("simple "), noun, F.lit("s with "),
+                     F.element_at(words(("widgets", "rings", "gears")), (key % 3 + 1).cast("int"))).alias("subtitle"),
             F.when(key % 23 == 0, "Google LLC").otherwise(F.col("s_name")).alias("seller"),
             F.when(key % 9 == 0, "Games").otherwise("Utilities").alias("primary_genre"),
             F.array(F.lit("Tools"), F.when(key % 7 == 0, "Games").otherwise("Work")).alias("genres"),

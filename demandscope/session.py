@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -42,11 +42,17 @@ def staging_root(spark: SparkSession) -> str:
 class Staged:
     """A DataFrame written to shared storage, so its lineage is one file scan."""
 
-    def __init__(self, df: DataFrame, label: str, partition_by: tuple[str, ...] = ()):
+    def __init__(self, df: DataFrame, label: str, **metrics: Column):
+        """Write ``df``; aggregate ``metrics`` on the way, without another job."""
         spark = df.sparkSession
         self.path = f"{staging_root(spark)}/demandscope/{label}-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
+        schema = df.schema
+        if metrics:
+            seen = Observation()
+            df = df.observe(seen, *[column.alias(name) for name, column in metrics.items()])
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(schema).parquet(self.path)
+        self.metrics = seen.get if metrics else {}
 
     def drop(self) -> None:
         context = self.df.sparkSession.sparkContext
@@ -54,5 +60,5 @@ class Staged:
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    return Staged(df, label, partition_by).df
+def stage(df: DataFrame, label: str) -> DataFrame:
+    return Staged(df, label).df

@@ -36,7 +36,7 @@ CTES["popf"] = _ranked("""SELECT 'part ' || p_partkey AS term, country, lower(p_
     FROM sold_month JOIN part ON l_partkey = p_partkey""", "MONTHLY")
 
 CTES["kw_text"] = """
-  SELECT p_partkey, p_name || ' ' || lower(replace(p_brand, '#', ' ')) AS term,
+  SELECT p_partkey, split_part(p_name, ' ', 2) || ' ' || (p_partkey // 10) AS term,
          CASE p_type WHEN 'ECONOMY' THEN 'us' WHEN 'SMALL' THEN 'gb' WHEN 'MEDIUM' THEN 'de' WHEN 'PROMO' THEN 'fr'
                      WHEN 'STANDARD' THEN 'jp' ELSE 'zz' END AS storefront, p_size, p_name FROM part"""
 CTES["supply"] = """
@@ -50,7 +50,7 @@ CTES["items"] = """
   SELECT s_suppkey AS track_id,
     CASE s_suppkey % 4 WHEN 0 THEN main || ': ' || s_name WHEN 1 THEN main || ' app' WHEN 2 THEN s_name || ' - ' || main
          ELSE split_part(main, ' ', 2) || 's & ' || main END AS title,
-    'simple ' || split_part(main, ' ', 2) || 's.' AS subtitle,
+    'simple ' || split_part(main, ' ', 2) || 's with ' || ['widgets', 'rings', 'gears'][s_suppkey % 3 + 1] AS subtitle,
     CASE WHEN s_suppkey % 23 = 0 THEN 'Google LLC' ELSE s_name END AS seller,
     CASE WHEN s_suppkey % 9 = 0 THEN 'Games' ELSE 'Utilities' END AS primary_genre,
     CASE WHEN s_suppkey % 7 = 0 THEN 'Games' ELSE 'Work' END AS genre2,
