@@ -1,10 +1,12 @@
 """Spelling variants: fuzzy pairs and greedy grouping.
 
-Two terms are close when the LCS ratio of their squashed forms reaches 88. A pair with
-ratio >= r has at most k = (1 - r/100)(n + m) insertions and deletions, so cutting the longer
-string into k + 1 pieces leaves at least one piece untouched: it occurs in the shorter
-string, shifted by at most k places. Pieces and substrings meet in an equi-join keyed by
-storefront, both lengths, piece and text; ``levenshtein`` and the exact ratio then decide.
+Two terms are close when the LCS ratio of their squashed forms reaches 88. For lengths
+n >= m that allows at most k insertions and deletions. Cut the longer string into k + 1
+pieces: some piece j (from 0) is untouched, has exactly j edits to its left and at most k - j
+to its right (take the first prefix of pieces with fewer edits than pieces). So that piece
+occurs in the shorter string at one of at most j + 1 known places, and pieces meet
+substrings in an equi-join keyed by storefront, both lengths, piece and text. A bounded
+``levenshtein`` and the exact ratio decide; no pair of close forms is missed.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from demandscope.config import THRESHOLDS as T
-from demandscope.functions.similarity import lcs_length, within_ratio
+from demandscope.functions.similarity import lcs_length
 from demandscope.functions.text import squash
 from demandscope.session import Staged, stage
 
@@ -23,51 +25,60 @@ def squashed_terms(terms: DataFrame) -> DataFrame:
         "squashed", squash(F.col("term"))).filter(F.col("squashed") != "")
 
 
-def _budget(total: Column, ratio: int) -> Column:
-    return F.floor(total * (100 - ratio) / F.lit(100)).cast("int")
+def _edit_columns(each: DataFrame, ratio: int) -> DataFrame:
+    """Most deletions from the longer and the shorter form, and most edits in all."""
+    most = F.floor((F.col("n") + F.col("m")) * (100 - ratio) / F.lit(100))
+    return each.withColumns({
+        "cut": F.floor((most + F.col("n") - F.col("m")) / 2).cast("int"),
+        "add": F.floor((most - F.col("n") + F.col("m")) / 2).cast("int"),
+    }).withColumn("k", F.col("cut") + F.col("add"))
+
+
+def _start(piece: Column) -> Column:
+    """Where a piece of the longer form begins (from 0)."""
+    return F.floor(piece * F.col("n") / (F.col("k") + 1)).cast("int")
 
 
 def _pieces(forms: DataFrame, ratio: int) -> DataFrame:
     """Pieces of each form as the longer side, for every length a partner may have."""
     size = F.length("squashed")
     shortest = F.ceil(size * ratio / F.lit(200 - ratio)).cast("int")
-    each = forms.select(
-        "storefront", "squashed", size.alias("n"),
-        F.explode(F.sequence(F.greatest(shortest, F.lit(1)), size)).alias("m"))
-    each = each.withColumn("k", _budget(F.col("n") + F.col("m"), ratio))
-    place = F.sequence(F.lit(0), F.col("k"))
-    start = lambda i: F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int")
-    pieces = F.transform(place, lambda i: F.struct(
-        i.alias("piece"), F.col("squashed").substr(start(i) + 1, start(i + 1) - start(i)).alias("text")))
-    return each.select("storefront", "squashed", "n", "m", F.inline(pieces))
+    each = _edit_columns(forms.select(
+        "storefront", F.col("squashed").alias("longer"), size.alias("n"),
+        F.explode(F.sequence(F.greatest(shortest, F.lit(1)), size)).alias("m")), ratio)
+    pieces = F.transform(F.sequence(F.lit(0), F.col("k")), lambda j: F.struct(
+        j.alias("piece"), F.col("longer").substr(_start(j) + 1, _start(j + 1) - _start(j)).alias("text")))
+    return each.select("storefront", "longer", "n", "m", "k", F.inline(pieces))
 
 
 def _windows(forms: DataFrame, ratio: int) -> DataFrame:
-    """Substrings of each form as the shorter side, where a piece of a longer one may sit."""
+    """Substrings of each form as the shorter side, where an untouched piece may sit."""
     size = F.length("squashed")
     longest = F.floor(size * (200 - ratio) / F.lit(ratio)).cast("int")
-    each = forms.select(
-        "storefront", "squashed", size.alias("m"), F.explode(F.sequence(size, longest)).alias("n"))
-    each = each.withColumn("k", _budget(F.col("n") + F.col("m"), ratio))
-    start = lambda i: F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int")
+    each = _edit_columns(forms.select(
+        "storefront", F.col("squashed").alias("shorter"), size.alias("m"),
+        F.explode(F.sequence(size, longest)).alias("n")), ratio)
+    piece = F.col("piece")
     cut = each.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("piece")).select(
-        "storefront", "squashed", "n", "m", "k", "piece", start(F.col("piece")).alias("p"),
-        (start(F.col("piece") + 1) - start(F.col("piece"))).alias("len"))
-    low = F.greatest(F.col("p") - F.col("k"), F.lit(0))
-    high = F.least(F.col("p") + F.col("k"), F.col("m") - F.col("len"))
-    texts = F.when(low <= high, F.array_distinct(F.transform(
-        F.sequence(low, F.greatest(low, high)), lambda s: F.col("squashed").substr(s + 1, F.col("len")))))
-    return cut.select("storefront", F.col("squashed").alias("shorter"), "n", "m", "piece",
-                      F.explode(texts).alias("text"))
+        "*", _start(piece).alias("p"), (_start(piece + 1) - _start(piece)).alias("len"))
+    # of the edits left of the piece, `added` lengthen the shorter form and the rest cut it
+    shifts = F.transform(F.filter(
+        F.sequence(F.lit(0), F.col("piece")),
+        lambda added: (added <= F.col("add")) & (F.col("piece") - added <= F.col("cut"))
+        & (F.abs(F.col("m") - F.col("n") + F.col("piece") - added * 2) <= F.col("k") - F.col("piece"))),
+        lambda added: F.col("p") + added * 2 - F.col("piece"))
+    inside = F.filter(shifts, lambda at: (at >= 0) & (at + F.col("len") <= F.col("m")))
+    texts = F.array_distinct(F.transform(inside, lambda at: F.col("shorter").substr(at + 1, F.col("len"))))
+    return cut.select("storefront", "shorter", "n", "m", "piece", F.explode(texts).alias("text"))
 
 
 def close_forms(forms: DataFrame, ratio: int = T.fuzzy_dedup_ratio) -> DataFrame:
     """Pairs of different squashed forms at or above the ratio (``longer``, ``shorter``)."""
     a, b = F.col("longer"), F.col("shorter")
     candidates = (
-        _pieces(forms, ratio).withColumnRenamed("squashed", "longer")
-        .join(_windows(forms, ratio), ["storefront", "n", "m", "piece", "text"])
-        .filter((a != b) & ((F.col("n") > F.col("m")) | (a > b)) & within_ratio(a, b, ratio))
+        _pieces(forms, ratio).join(_windows(forms, ratio), ["storefront", "n", "m", "piece", "text"])
+        .filter((a != b) & ((F.col("n") > F.col("m")) | (a > b)))
+        .filter(F.expr("levenshtein(longer, shorter, k) >= 0"))
         .select("storefront", "longer", "shorter").distinct()
     )
     scored = candidates.withColumn("common", lcs_length("longer", "shorter"))

@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, spread by key when its files give fewer splits than cores.
+
+    Text work is CPU-bound and one row group cannot be split; a table of many files is left alone.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # --- popularity ---------------------------------------------------------------------------
 
 def sold(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
@@ -200,7 +210,7 @@ def document_lists(spark: SparkSession, sf_dir: str, depth: int = 10) -> DataFra
     a document's own ranking is cut to ten before it leaves its task.
     """
     text = F.lower("text")
-    long = table(spark, sf_dir, "documents").select(
+    long = text_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", F.col("lang").alias("storefront"), F.explode(F.array_distinct(tokens(text))).alias("token"))
     frequency = long.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("storefront", "doc_id").orderBy("df", "token")
@@ -216,12 +226,13 @@ def document_lists(spark: SparkSession, sf_dir: str, depth: int = 10) -> DataFra
 
 def suggestion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as landed suggestions: first token as prefix, first three as term."""
-    lines = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("lang").alias("storefront"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    words_of = tokens(normalize_term(F.col("raw")))
+    # the words are made before the explode: a filter above it cannot make them again
+    words_of = F.transform(F.split("text", "\n"), lambda raw: tokens(normalize_term(raw)))
+    lines = text_table(spark, sf_dir, "documents", "doc_id").select(
+        "doc_id", F.col("lang").alias("storefront"), F.posexplode(words_of).alias("line", "ws"))
     base = F.lit(date(2024, 1, 1)).cast("timestamp")
     return (
-        lines.withColumn("ws", words_of).filter(F.size("ws") >= 2)
+        lines.filter(F.size("ws") >= 2)
         .select(
             "doc_id", "line", "storefront", F.col("ws")[0].alias("prefix"),
             F.array_join(F.slice("ws", 1, 3), " ").alias("term"), (F.col("line") % 10 + 1).alias("position"),
@@ -348,7 +359,7 @@ def raw_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads_of(table(spark, sf_dir, "documents"))
+    return payloads_of(text_table(spark, sf_dir, "documents", "doc_id"))
 
 
 def payloads_of(documents: DataFrame) -> DataFrame:
