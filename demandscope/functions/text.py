@@ -32,9 +32,8 @@ def strip(text: Column) -> Column:
 
 
 def normalize_term(term: Column) -> Column:
-    """Lower case, ASCII letters, digits and ``-+&'`` only, single spaces."""
-    kept = F.regexp_replace(F.lower(term), r"[^a-z0-9\s\-+&']", " ")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+    """Lower case, ASCII letters, digits and ``-+&'`` only, single spaces (in one pass)."""
+    return F.trim(F.regexp_replace(F.lower(term), r"[^a-z0-9\-+&']+", " "))
 
 
 def tokens(term: Column) -> Column:

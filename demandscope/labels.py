@@ -15,6 +15,8 @@ LEADING_FACTOR = {
     "coherence": "запрос точно совпадает с нишей",
 }
 
+LEADING_FACTOR_MARK = " (ведущий фактор: "
+
 # Score bands.
 BAND_STRONG, BAND_MEDIUM, BAND_WEAK = "сильный", "средний", "слабый"
 
@@ -24,6 +26,13 @@ SIGNAL_CLUSTER, SIGNAL_CLEAN = "кластер", "точность"
 FLAG_BRAND, FLAG_STALE = "бренд?", "топ устарел"
 BRAND_BY_TITLE, BRAND_BY_SELLER, BRAND_BY_FIRST_WORD = "название", "разработчик", "первое слово"
 
+# Evidence told by a rating signal.
+TOLD_PLACE, TOLD_METADATA, TOLD_NOTHING = "автокомплит #", "в метаданных у ", "нет данных"
+TOLD_STALE, TOLD_NO_LEADER = "/10 заброшены", ", точного лидера нет"
+TOLD_THOUSANDS, TOLD_REVIEWS = "k отзывов у лидера", " отзывов"
+TOLD_QUERIES, TOLD_COHERENCE = " запросов", "связность "
+REASON_NONE, REASON_MISSING = "нет сильных признаков", " · не хватает: "
+
 # Movement strength.
 STRENGTH_NEW, STRENGTH_SUSTAINED = "новичок", "устойчивый рост"
 STRENGTH_UP, STRENGTH_DOWN, STRENGTH_STABLE = "рост", "падение", "стабильно"

@@ -3,8 +3,8 @@
 Overlap is |A & B| / min(|A|, |B|) over the ids of the first ten items. Two terms are linked
 at an overlap of 0.60, or at 0.30 when their first items are the same.
 
-``overlap_pairs`` reports every linked pair. ``cluster_links`` only has to connect the
-same terms, so it never enumerates the pairs of a crowd:
+``overlap_pairs`` reports linked pairs of distinct lists. ``cluster_links`` only has to connect
+the same terms, so it never enumerates the pairs of a crowd:
 
 * lists with identical items (and leader) are folded onto one representative first;
 * items found in at most ``hot_degree`` lists meet in an ordinary join;
@@ -96,20 +96,41 @@ def _linkable(prints: DataFrame) -> DataFrame:
     return prints.filter((F.col("size") > 0) & links_allowed(F.col("term")))
 
 
+def _fold(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct lists under their smallest term, and the copies (storefront, a, b) of each."""
+    prints = stage(
+        _linkable(fingerprints(lists)).withColumn(
+            "lead_key", F.coalesce(F.col("leader").cast("string"), F.lit(""))), "fingerprints")
+    same = ["storefront", "items", "lead_key"]
+    folded = stage(prints.groupBy(*same).agg(
+        F.min("term").alias("term"), F.first("leader").alias("leader"), F.first("size").alias("size")), "folded")
+    copies = (
+        prints.select(*same, F.col("term").alias("b"), "size")
+        .join(folded.select(*same, F.col("term").alias("a")), same).filter(F.col("a") != F.col("b"))
+        .select("storefront", "a", "b", "size", (F.col("lead_key") != "").alias("led"))
+    )
+    return folded, copies
+
+
 def overlap_pairs(lists: DataFrame, overlap: float = T.cluster_overlap,
                   leader_overlap: float = T.same_leader_min_overlap) -> DataFrame:
-    """Every linked pair of terms with its overlap and whether the leader is shared."""
-    prints = stage(_linkable(fingerprints(lists)), "fingerprints")
-    close = _candidates(prints, overlap, same_leader=False, max_degree=None)
-    led = _candidates(prints.filter(F.col("leader").isNotNull()), leader_overlap,
+    """Linked pairs with their overlap and whether the leader is shared.
+
+    Identical lists are one list here: each copy is paired once, with the smallest term that
+    has the list, and only that term is paired with other lists. The pairs of a copy
+    follow from it, and a crowd of copies adds rows in proportion to its size.
+    """
+    folded, copies = _fold(lists)
+    close = _candidates(folded, overlap, same_leader=False, max_degree=None)
+    led = _candidates(folded.filter(F.col("leader").isNotNull()), leader_overlap,
                       same_leader=True, max_degree=None)
     tagged = close.withColumn("_led", F.lit(0)).unionByName(led.withColumn("_led", F.lit(1)))
-    return (
-        tagged.groupBy("storefront", "a", "b", "n_common", "n_smaller").agg(F.max("_led").alias("_led"))
-        .select("storefront", "a", "b", "n_common",
-                (F.col("n_common") / F.col("n_smaller")).alias("overlap"),
-                (F.col("_led") == 1).alias("same_leader"))
-    )
+    pairs = tagged.groupBy("storefront", "a", "b", "n_common", "n_smaller").agg(F.max("_led").alias("_led")).select(
+        "storefront", "a", "b", "n_common", (F.col("n_common") / F.col("n_smaller")).alias("overlap"),
+        (F.col("_led") == 1).alias("same_leader"))
+    return pairs.unionByName(copies.select(
+        "storefront", "a", "b", F.col("size").alias("n_common"), F.lit(1.0).alias("overlap"),
+        F.col("led").alias("same_leader")))
 
 
 def _subset_links(crowd: DataFrame, sizes: list[int], overlap: float, same_leader: bool) -> DataFrame:
@@ -142,20 +163,10 @@ def cluster_links(lists: DataFrame, overlap: float = T.cluster_overlap,
                   leader_overlap: float = T.same_leader_min_overlap,
                   hot_degree: int = 200) -> DataFrame:
     """Links (storefront, a, b) that connect exactly the terms single linkage connects."""
-    prints = stage(
-        _linkable(fingerprints(lists)).withColumn(
-            "lead_key", F.coalesce(F.col("leader").cast("string"), F.lit(""))), "fingerprints")
-    copies = ["storefront", "items", "lead_key"]
-    folded = stage(prints.groupBy(*copies).agg(
-        F.min("term").alias("term"), F.first("leader").alias("leader"), F.first("size").alias("size")), "folded")
-    twins = (
-        prints.select(*copies, F.col("term").alias("b"))
-        .join(folded.select(*copies, F.col("term").alias("a")), copies)
-        .filter(F.col("a") != F.col("b")).select("storefront", "a", "b")
-    )
+    folded, copies = _fold(lists)
     leaders = folded.filter(F.col("leader").isNotNull())
     links = (
-        twins
+        copies.select("storefront", "a", "b")
         .unionByName(_candidates(folded, overlap, False, hot_degree).select("storefront", "a", "b"))
         .unionByName(_candidates(leaders, leader_overlap, True, hot_degree).select("storefront", "a", "b"))
     )

@@ -22,27 +22,27 @@ def signals() -> Column:
 
     demand = F.coalesce(pos <= 3, false) | F.coalesce(meta >= 0.5, false)
     demand_text = (
-        F.when(F.coalesce(pos, F.lit(0)) != 0, F.concat(F.lit("автокомплит #"), pos.cast("string")))
-        .when(meta.isNotNull(), F.concat(F.lit("в метаданных у "), _half_even(meta * 10), F.lit("/10")))
-        .otherwise("нет данных"))
+        F.when(F.coalesce(pos, F.lit(0)) != 0, F.concat(F.lit(labels.TOLD_PLACE), pos.cast("string")))
+        .when(meta.isNotNull(), F.concat(F.lit(labels.TOLD_METADATA), _half_even(meta * 10), F.lit("/10")))
+        .otherwise(labels.TOLD_NOTHING))
     vague = F.coalesce(relevance < 0.6, false)
     room = F.coalesce(stale >= 0.4, false) | vague
     room_text = F.concat(
-        _half_even(F.coalesce(stale, F.lit(0.0)) * 10), F.lit("/10 заброшены"),
-        F.when(vague, ", точного лидера нет").otherwise(""))
+        _half_even(F.coalesce(stale, F.lit(0.0)) * 10), F.lit(labels.TOLD_STALE),
+        F.when(vague, labels.TOLD_NO_LEADER).otherwise(""))
     market_text = F.when(
         reviews >= 1000,
-        F.concat(F.floor(reviews / 1000).cast("string"), F.lit("k отзывов у лидера"))
-    ).otherwise(F.concat(reviews.cast("string"), F.lit(" отзывов")))
+        F.concat(F.floor(reviews / 1000).cast("string"), F.lit(labels.TOLD_THOUSANDS))
+    ).otherwise(F.concat(reviews.cast("string"), F.lit(labels.TOLD_REVIEWS)))
     clean = F.coalesce(coherence >= 0.5, false) | F.coalesce(no_local >= 0.6, false)
     clean_text = F.coalesce(
-        F.concat(F.lit("связность "), _half_even(coherence * 100), F.lit("%")), F.lit("нет данных"))
+        F.concat(F.lit(labels.TOLD_COHERENCE), _half_even(coherence * 100), F.lit("%")), F.lit(labels.TOLD_NOTHING))
     rows = [
         (labels.SIGNAL_DEMAND, demand, demand_text),
         (labels.SIGNAL_ROOM, room, room_text),
         (labels.SIGNAL_MARKET, reviews.between(3_000, 300_000), market_text),
         (labels.SIGNAL_CLUSTER, F.col("cluster_size") >= 2,
-         F.concat(F.col("cluster_size").cast("string"), F.lit(" запросов"))),
+         F.concat(F.col("cluster_size").cast("string"), F.lit(labels.TOLD_QUERIES))),
         (labels.SIGNAL_CLEAN, clean, clean_text),
     ]
     return F.array(*[
@@ -66,9 +66,9 @@ def with_rating(rows: DataFrame) -> DataFrame:
             "flags": flags,
             "missing": F.array_join(missing, ", "),
             "reason": F.concat(
-                F.when(told == "", "нет сильных признаков").otherwise(told),
+                F.when(told == "", labels.REASON_NONE).otherwise(told),
                 F.when(F.size(missing) > 0, F.concat(
-                    F.lit(" · не хватает: "), F.array_join(missing, ", "))).otherwise("")),
+                    F.lit(labels.REASON_MISSING), F.array_join(missing, ", "))).otherwise("")),
         })
         .drop("signals")
     )

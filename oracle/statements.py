@@ -621,8 +621,21 @@ def _cluster_ctes(name: str, rows: str) -> None:
 
 _cluster_ctes("doc", "doc_rows")
 _cluster_ctes("lst", "list_rows")
-SQL["overlap_pairs"] = f"SELECT storefront, a, b, n_common::INT AS n_common, {_r6('overlap')}, same_leader FROM doc_pairs"
-SQL["overlap_pairs_of_lists"] = f"SELECT storefront, a, b, n_common::INT AS n_common, {_r6('overlap')}, same_leader FROM lst_pairs"
+
+
+def _folded_pairs(pairs: str, rows: str) -> str:
+    """Pairs of first terms of distinct lists, and of each copy with its first term."""
+    return f"""
+WITH lists AS (SELECT storefront, term, min(term) OVER (PARTITION BY storefront, items, leader) AS first_term FROM (
+  SELECT storefront, term, list_sort(list_distinct(list(track_id) FILTER (track_id <> 0))) AS items,
+    max(track_id) FILTER (pos = 1) AS leader FROM {rows} GROUP BY 1, 2))
+SELECT p.storefront, a, b, n_common::INT AS n_common, {S.half_up('overlap', 6)} AS overlap, same_leader FROM {pairs} p
+JOIN lists x ON x.storefront = p.storefront AND x.term = a JOIN lists y ON y.storefront = p.storefront AND y.term = b
+WHERE (x.first_term = a AND y.first_term = b) OR (x.first_term = a AND y.first_term = a)"""
+
+
+SQL["overlap_pairs"] = _folded_pairs("doc_pairs", "doc_rows")
+SQL["overlap_pairs_of_lists"] = _folded_pairs("lst_pairs", "list_rows")
 SQL["overlap_clusters"] = "SELECT storefront, term, cluster_id FROM doc_members"
 SQL["cluster_heads"] = f"""
 SELECT storefront, cluster_id, term AS head, n_members FROM (
