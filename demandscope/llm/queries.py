@@ -8,28 +8,121 @@ from pyspark.sql import DataFrame, SparkSession
 
 from demandscope.llm.common import read
 from demandscope.llm.exact_dedup import exact_dedup
+from demandscope.llm.license_scan import TEMPLATES, license_scan
+from demandscope.llm.license_scan import THRESHOLD as LICENSE_THRESHOLD
+from demandscope.llm.mixing import BLOCK_CHARS, PERIOD, mix
 from demandscope.llm.packing import pack
+from demandscope.llm.quality_classifier import quality_scores
+from demandscope.llm.quality_rules import quality_rules
 from demandscope.llm.wavelet import token_documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
 def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op8_packing, op10_wavelet_tokens)}
+    f.__name__: f for f in (
+        op1_license_scan, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op8_packing, op9_mixing,
+        op10_wavelet_tokens)}
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+_TEMPLATES = ", ".join(f"({i}, {_text(name)}, {_text(text)})" for i, (name, text) in enumerate(TEMPLATES))
+_T = LICENSE_THRESHOLD
 
 SQL = {
+    "op1_license_scan": rf"""
+        WITH template AS (
+            SELECT i, license, {_PAIRS} AS tp FROM (
+                SELECT i, license, string_split(trim(regexp_replace(lower(t), '[^0-9a-z]+', ' ', 'g')), ' ') AS w
+                FROM (VALUES {_TEMPLATES}) AS v(i, license, t))),
+        plain AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS p FROM documents),
+        part AS (
+            SELECT r, p, string_split(p, chr(10)) AS lines, string_split_regex(p, '\n(?: ?\n)+') AS paragraphs FROM plain),
+        unit AS (
+            SELECT r, 'line' AS unit, unnest(range(len(lines))) AS place, unnest(lines) AS u FROM part
+            UNION ALL SELECT * FROM (
+                SELECT r, 'paragraph', unnest(range(len(paragraphs))), unnest(paragraphs) AS u FROM part)
+            WHERE contains(trim(u, ' '), chr(10))
+            UNION ALL SELECT r, 'text', 0, p FROM part WHERE len(paragraphs) > 1),
+        pairs AS (
+            SELECT r, unit, place, {_PAIRS} AS up FROM (
+                SELECT r, unit, place, string_split_regex(trim(translate(u, chr(10), ' ')), ' +') AS w FROM unit)),
+        dice AS (
+            SELECT r, unit, place, i, license, 2.0::DOUBLE * len(list_intersect(up, tp)) / (len(up) + len(tp)) AS d
+            FROM pairs JOIN template
+            ON len(up) BETWEEN {_T} * len(tp) / (2 - {_T}) AND (2 - {_T}) * len(tp) / {_T}),
+        best AS (
+            SELECT r, unit, place, arg_min(license, i) AS license, any_value(d) AS d FROM (
+                SELECT *, max(d) OVER (PARTITION BY r, unit, place) AS top FROM dice WHERE d >= {_T})
+            WHERE d = top GROUP BY r, unit, place)
+        SELECT doc_id, count(unit) AS n_hits,
+               coalesce(array_to_string(list_sort(list_distinct(list(license) FILTER (unit IS NOT NULL))), ','), '') AS licenses,
+               coalesce(max(d), 0) AS best,
+               coalesce(string_agg(unit || ':' || place || ':' || license, ',' ORDER BY unit, place) FILTER (unit IS NOT NULL), '') AS hits
+        FROM plain LEFT JOIN best USING (r) GROUP BY r, doc_id""",
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)""",
+    "op9_mixing": f"""
+        WITH RECURSIVE row AS (
+            SELECT doc_id, coalesce(source, '') AS source, length(coalesce(text, ''))::BIGINT AS chars FROM documents),
+        stream AS (
+            SELECT *, coalesce(sum(chars) OVER (PARTITION BY source ORDER BY doc_id, chars
+                                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "begin" FROM row),
+        size AS (SELECT source, pow(sum(chars) + 1, 0.5) AS size FROM row GROUP BY source),
+        weight AS (
+            SELECT source, greatest(1, round({PERIOD} * size / (SELECT sum(size) FROM size)))::BIGINT AS weight FROM size),
+        own AS (
+            SELECT list(source ORDER BY source) AS sources, list(weight ORDER BY source) AS a, sum(weight)::BIGINT AS period
+            FROM weight),
+        slot AS (
+            SELECT -1::BIGINT AS slot, list_transform(a, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS place FROM own
+            UNION ALL
+            SELECT slot, list_transform(done, lambda n, s: n + (s = place)::BIGINT), place FROM (
+                SELECT slot + 1 AS slot, done, list_min(list_filter(list_transform(a, lambda x, s:
+                    CASE WHEN done[s] * period // x <= slot + 1
+                         THEN ((done[s] + 1) * period + x - 1) // x * 1000000 + s END), lambda k: k IS NOT NULL)) % 1000000 AS place
+                FROM slot, own WHERE slot + 1 < period)),
+        plan AS (
+            SELECT sources[place] AS source, any_value(a[place]) AS weight, any_value(period) AS period,
+                   list(slot ORDER BY slot) AS slots
+            FROM slot, own WHERE place IS NOT NULL GROUP BY place, sources)
+        SELECT doc_id, source, chars, "begin", "begin" // {BLOCK_CHARS} AS block,
+               "begin" // {BLOCK_CHARS} // weight * period + slots["begin" // {BLOCK_CHARS} % weight + 1] AS slot,
+               "begin" // {BLOCK_CHARS} * period // weight AS release,
+               (("begin" // {BLOCK_CHARS} + 1) * period + weight - 1) // weight AS deadline
+        FROM stream JOIN plan USING (source)""",
 }
