@@ -1,13 +1,17 @@
 """License scans: normalised lines, paragraphs and texts against licence templates by Dice's coefficient over word pairs.
 
 DataFrame functions only. Two sizes bound the coefficient, so a template is only compared with units of a near size. A
-unit must also hold one of a few anchor pairs of the template: if it lacks them all, too few pairs are left to reach
-the threshold. Both tests lose nothing.
+unit must also hold one of a few words: if it lacks them all, so does it lack every pair with one of them, and too few
+pairs of any template are left to reach the threshold. Both tests lose nothing.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,11 +67,33 @@ def bounds(n: int, threshold: float) -> tuple[float, float]:
     return threshold * n / (2 - threshold), (2 - threshold) * n / threshold
 
 
-def anchors(pairs: list[str], threshold: float) -> list[str]:
-    """Pairs of which every unit that reaches the threshold holds at least one; longer pairs are rarer."""
-    n = len(pairs)
-    shared = -(-threshold * (n + bounds(n, threshold)[0]) / 2 // 1)  # the least number of shared pairs
-    return sorted(pairs, key=lambda p: (-len(p), p))[:n - int(shared) + 1]
+def gate_words(templates: list[list[str]], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold against a template holds at least one.
+
+    A matching unit shares at least ``shared`` of n pairs, so words that touch more than n - shared pairs are enough.
+    Chosen greedily; longer words first, as they are rarer.
+    """
+    open_pairs = [set(pairs) for pairs in templates]
+    need = []
+    for pairs in templates:
+        n = len(pairs)
+        shared = math.ceil(threshold * (n + bounds(n, threshold)[0]) / 2 - 1e-9)
+        need.append(n - shared + 1)
+    chosen: list[str] = []
+    while any(k > 0 for k in need):
+        gain: dict[str, int] = {}
+        for pairs, k in zip(open_pairs, need, strict=True):
+            if k > 0:
+                touched = Counter(w for p in pairs for w in set(p.split()))
+                for word, n in touched.items():
+                    gain[word] = gain.get(word, 0) + min(n, k) * 3 ** min(len(word), 8)
+        word = max(gain, key=lambda w: (gain[w], w))
+        chosen.append(word)
+        for t, pairs in enumerate(open_pairs):
+            left = {p for p in pairs if word not in p.split()}
+            need[t] -= len(pairs) - len(left)
+            open_pairs[t] = left
+    return chosen
 
 
 def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
@@ -81,7 +107,9 @@ def _best_units(docs: DataFrame, templates: list[tuple[str, str]] | None, thresh
     """doc_id, row_id, unit, place, best of every matching unit, and for every document a row with null in the last three."""
     own = [(name, pairs_of(text)) for name, text in (TEMPLATES if templates is None else templates)]
     own = [(name, pairs) for name, pairs in own if pairs]
-    wanted = sorted({a for _, pairs in own for a in anchors(pairs, threshold)})
+    gate = gate_words([pairs for _, pairs in own], threshold)
+    holds = lambda text: reduce(or_, (text.contains(f" {word} ") for word in gate), F.lit(False))
+    spaced = F.concat(F.lit(" "), F.translate("plain", "\n", " "), F.lit(" "))
     least = min((bounds(len(p), threshold)[0] for _, p in own), default=1)
     most = max((bounds(len(p), threshold)[1] for _, p in own), default=0)
     plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ")
@@ -98,16 +126,16 @@ def _best_units(docs: DataFrame, templates: list[tuple[str, str]] | None, thresh
         F.when(F.size(paragraphs) > 1, F.col("plain")).otherwise(F.lit("")).alias("plain")))
     units = (
         id_and_text(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row_id"), "text"))
-    units = _once(units, "plain", plain).select("doc_id", "row_id", F.explode(F.concat(
-        mark, unit("line", lines), several("paragraph", paragraphs), whole)).alias("u"))
-    units = _once(units.select("doc_id", "row_id", "u.*"), "words", F.split(F.trim(F.translate("plain", "\n", " ")), " +"))
+    units = _once(_once(units, "plain", plain), "spaced", spaced).select("doc_id", "row_id", F.explode(F.when(
+        holds(F.col("spaced")), F.concat(mark, unit("line", lines), several("paragraph", paragraphs), whole)).otherwise(mark)).alias("u"))
+    units = units.select("doc_id", "row_id", "u.*").where(F.col("unit").isNull() | holds(spaced))
+    units = _once(units, "words", F.split(F.trim(F.translate("plain", "\n", " ")), " +"))
     units = units.where(F.col("unit").isNull() | (F.size("words") > least))  # n pairs need more than n words
     n = F.size("words") - 1
     pairs = F.array_distinct(F.zip_with(
         F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.concat_ws(" ", a, b)))
     sized = _once(units, "pairs", F.when(F.col("unit").isNotNull(), pairs)).where(
-        F.col("unit").isNull() | F.size("pairs").between(least, most) & F.arrays_overlap(
-            "pairs", F.array(*map(F.lit, wanted)).cast("array<string>")))
+        F.col("unit").isNull() | F.size("pairs").between(least, most))
     scored = sized.withColumn("best", F.array_max(F.array_compact(F.array(
         *(_coefficient(name, p, threshold, F.col("pairs"), place) for place, (name, p) in enumerate(own)),
         F.lit(None).cast("struct<dice:double,place:int,license:string>")))))
