@@ -11,6 +11,7 @@ from demandscope.llm.exact_dedup import exact_dedup
 from demandscope.llm.license_scan import TEMPLATES, license_scan
 from demandscope.llm.license_scan import THRESHOLD as LICENSE_THRESHOLD
 from demandscope.llm.mixing import BLOCK_CHARS, PERIOD, mix
+from demandscope.llm.ngram_jaccard import near_classes
 from demandscope.llm.packing import pack
 from demandscope.llm.quality_classifier import quality_scores
 from demandscope.llm.quality_rules import quality_rules
@@ -33,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_license_scan, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op8_packing, op9_mixing,
+        op1_license_scan, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op7_ngram_jaccard, op8_packing, op9_mixing,
         op10_wavelet_tokens)}
 
 
