@@ -120,6 +120,11 @@ def write_index(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: st
     return docs.sparkSession.read.parquet(path)
 
 
+def _index_of(docs: DataFrame, capacity: int, id_col: str, text_col: str, index_path: str | None) -> DataFrame:
+    path = index_path or f"{staging_root(docs.sparkSession)}/demandscope/exact-index-{uuid.uuid4().hex}"
+    return write_index(docs, path, capacity, id_col, text_col).select("key", "text_sha256", "keep_id", "group_size")
+
+
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
                 index_path: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
@@ -128,10 +133,23 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id
     both the id and the text are flagged alike. A null id is never greatest; if all ids of a group are null, keep_id
     is null and all are kept. No rows give no rows. Other columns are not read, so their names do not matter.
     """
-    path = index_path or f"{staging_root(docs.sparkSession)}/demandscope/exact-index-{uuid.uuid4().hex}"
-    index = write_index(docs, path, capacity, id_col, text_col)
+    index = _index_of(docs, capacity, id_col, text_col, index_path)
     rows = id_and_text(docs, id_col, text_col).select(
         "doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"))
-    return rows.join(index.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
-        "text_sha256")
+    return rows.join(index, ["key", "text_sha256"]).select(
+        "doc_id", "keep_id", "group_size",
+        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
+                   index_path: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, one for each text: the one with the greatest id, of repeated rows any one."""
+    kept = _index_of(docs, capacity, id_col, text_col, index_path).select(
+        F.col("keep_id").alias("id"), F.col("key").alias("kept_key"), F.col("text_sha256").alias("kept_sha256"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"),
+                       F.xxhash64(text).alias("key"), F.sha2(text, 256).alias("text_sha256"))
+    same = ((rows["key"] == kept["kept_key"]) & (rows["text_sha256"] == kept["kept_sha256"])
+            & rows["doc_id"].eqNullSafe(kept["id"]))
+    one = Window.partitionBy("doc_id", "key", "text_sha256").orderBy("key")
+    return rows.join(kept, same, "left_semi").withColumn("copy", F.row_number().over(one)).where("copy = 1").select("row.*")

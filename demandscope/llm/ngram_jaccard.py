@@ -256,16 +256,8 @@ def jaccard_links(rows: DataFrame, sketched: DataFrame, threshold: float = THRES
         lambda table: settle(table, threshold, tolerance), "set_id binary, n long, root binary")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk: int = CHUNK,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links, n_shingles, kept.
-
-    Texts with equal sets of shingles are copies, also empty ones; sets of a similarity of at least ``threshold`` are
-    linked; a class is all that links and copies connect, named after its least id. ``n_links`` counts the other sets
-    that the document's set is linked with. ``kept`` marks the document with the least id. Null text is empty, a null id is never least (a class of null ids
-    alone has a null class_id and keeps its rows), rows that repeat an id are flagged alike. No rows give no rows; other
-    columns are not read.
-    """
+def _classes(docs: DataFrame, threshold: float, tolerance: float, chunk: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, class_id, n_links, n_shingles, kept of each row."""
     ship(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     sketched = stage(sketches(rows), "jaccard-sketches")
@@ -273,12 +265,35 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     roots = components(found.select(F.lit("").alias("storefront"), F.col("set_id").alias("a"), F.col("root").alias("b"))).select(
         F.col("term").alias("set_id"), "root")
     sets = (
-        sketched.groupBy("set_id").agg(F.min("doc_id").alias("least"))
+        sketched.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least"))
         .join(found.groupBy("set_id").agg(F.sum("n").alias("n_links")), "set_id", "left")
         .join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
     sets = stage(sets, "jaccard-classes")
-    classes = sets.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = sets.join(classes, "root").select("set_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return sketched.select("doc_id", "set_id", "n_shingles").join(named, "set_id").select(
-        "doc_id", "class_id", "n_links", "n_shingles",
-        F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    classes = sets.groupBy("root").agg(F.min("least").alias("first"))
+    named = sets.join(classes, "root").select("set_id", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return sketched.select("doc_id", "text_hash", "set_id", "n_shingles").join(named, "set_id").select(
+        "doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "n_links", "n_shingles",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("kept"))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk: int = CHUNK,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links, n_shingles, kept.
+
+    Texts with equal sets of shingles are copies, also empty ones; sets of a similarity of at least ``threshold`` are
+    linked; a class is all that links and copies connect, named after its least id. ``n_links`` counts the other sets
+    that the document's set is linked with. ``kept`` marks the document with the least id, of several texts under that
+    id the one with the least hash; rows that repeat both are flagged alike. Null text is empty. A null id comes after
+    all others, so only a class of null ids has a null class_id. No rows give no rows; other columns are not read.
+    """
+    return _classes(docs, threshold, tolerance, chunk, id_col, text_col).drop("text_hash")
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk: int = CHUNK,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``near_classes`` keeps: one document of each class."""
+    kept = _classes(docs, threshold, tolerance, chunk, id_col, text_col).where("kept").select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"),
+                       F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_hash"))
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["text_hash"] == kept["hash"]), "left_semi").select("row.*")

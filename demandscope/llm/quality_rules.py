@@ -112,7 +112,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     A document stays if it has 50 words or more, at most half of them in repeated three-word windows, and a score of at
     least ``threshold``. Null text is empty and fails; without trusted documents every score is 0. Repeated rows count
     as often as they occur. Equal windows and lines are found by 64-bit hash and by value. ``carry`` names columns of
-    ``docs`` to pass through in place of doc_id.
+    ``docs`` that take the place of doc_id, as the struct ``row``. No rows give no rows.
     """
     ship(docs.sparkSession)
     table = log_ratios(*gram_counts(id_and_text(docs, id_col, text_col), trusted_ids(labels), bits), prior)
@@ -138,3 +138,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return rows.mapInArrow(run, T.StructType([
         rows.schema[lead], *(T.StructField(c, T.LongType()) for c in COLUMNS), T.StructField("base_failed", T.BooleanType()),
         T.StructField("kept", T.BooleanType()), T.StructField("llr", T.DoubleType())]))
+
+
+def passing(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep."""
+    return quality_rules(docs, labels, threshold, carry=docs.columns).where("kept").select("row.*")
