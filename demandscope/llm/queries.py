@@ -10,6 +10,7 @@ from demandscope.llm.common import read
 from demandscope.llm.exact_dedup import exact_dedup
 from demandscope.llm.license_scan import TEMPLATES, license_scan
 from demandscope.llm.license_scan import THRESHOLD as LICENSE_THRESHOLD
+from demandscope.llm.line_dedup import line_dedup
 from demandscope.llm.mixing import BLOCK_CHARS, PERIOD, mix
 from demandscope.llm.ngram_jaccard import near_classes
 from demandscope.llm.packing import pack
@@ -22,6 +23,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_license_scan, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op7_ngram_jaccard, op8_packing, op9_mixing,
+        op1_license_scan, op2_line_dedup, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op7_ngram_jaccard, op8_packing, op9_mixing,
         op10_wavelet_tokens)}
 
 
