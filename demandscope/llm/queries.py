@@ -14,6 +14,7 @@ from demandscope.llm.line_dedup import line_dedup
 from demandscope.llm.mixing import BLOCK_CHARS, PERIOD, mix
 from demandscope.llm.ngram_jaccard import near_classes
 from demandscope.llm.packing import pack
+from demandscope.llm.pii import pii_spans
 from demandscope.llm.quality_classifier import quality_scores
 from demandscope.llm.quality_rules import quality_rules
 from demandscope.llm.wavelet import token_documents
@@ -39,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read(spark, sf_dir, "documents"))
 
@@ -57,8 +62,8 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_license_scan, op2_line_dedup, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op7_ngram_jaccard, op8_packing, op9_mixing,
-        op10_wavelet_tokens)}
+        op1_license_scan, op2_line_dedup, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op6_pii, op7_ngram_jaccard, op8_packing,
+        op9_mixing, op10_wavelet_tokens)}
 
 
 def _text(value: str) -> str:
