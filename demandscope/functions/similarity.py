@@ -8,7 +8,10 @@ the number of insertions and deletions), every other row passes null.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
 from demandscope import labels
@@ -16,6 +19,10 @@ from demandscope.config import THRESHOLDS
 from demandscope.functions.text import brand_tokens, flat, let, title_head, tokens
 
 
+# workers get the function itself, so they need not find this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _lcs(a: str, b: str) -> int:
     """Bit-parallel LCS length: one big-integer step per character of ``b``."""
     places: dict[str, int] = {}

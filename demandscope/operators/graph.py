@@ -18,7 +18,7 @@ def _written(edges: DataFrame) -> Staged:
     return Staged(edges, "edges", n=F.count(F.lit(1)), checksum=checksum)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of (storefront, a, b) links: each linked term with its smallest member.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): every round
@@ -27,15 +27,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = _written(links.filter(F.col("a") != F.col("b")).select(
         "storefront", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(max_rounds):
+    settled = False
+    while not settled:
         moved = _written(_small_star(_large_star(edges.df)))
         settled = moved.metrics == edges.metrics
         edges.drop()
         edges = moved
-        if settled:
-            break
-    else:
-        raise RuntimeError("components did not converge")
     stars = edges.df
     roots = stars.select("storefront", F.col("v").alias("term")).distinct()
     return stars.select("storefront", F.col("u").alias("term"), F.col("v").alias("root")).unionByName(

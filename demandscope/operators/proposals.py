@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandscope.functions.text import tokens
 from demandscope.operators.series import newest_rows
@@ -33,7 +33,7 @@ def with_outcomes(proposals: DataFrame, outcomes: DataFrame) -> DataFrame:
 def hit_rate(proposals: DataFrame) -> DataFrame:
     """Count and share per status."""
     counts = proposals.groupBy("status").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # a row per status
     return counts.select("status", "n", (F.col("n") / total.scalar()).alias("share"))
 
 

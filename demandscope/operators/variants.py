@@ -98,7 +98,7 @@ def fuzzy_pairs(terms: DataFrame, ratio: int = T.fuzzy_dedup_ratio) -> DataFrame
         "storefront", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ratio")
 
 
-def variant_heads(terms: DataFrame, ratio: int = T.fuzzy_dedup_ratio, max_rounds: int = 200) -> DataFrame:
+def variant_heads(terms: DataFrame, ratio: int = T.fuzzy_dedup_ratio) -> DataFrame:
     """Every distinct term with the head of its spelling group, per storefront.
 
     Terms in order of (length, text) join the first group that holds a close term.
@@ -121,7 +121,8 @@ def variant_heads(terms: DataFrame, ratio: int = T.fuzzy_dedup_ratio, max_rounds
         .filter(F.col("s") < F.col("t")).select("storefront", "t", "s").distinct(), "earlier")
 
     heads = Staged(ranked.select("storefront", "t", F.col("t").alias("h")), "heads")
-    for _ in range(max_rounds):
+    lowering = True
+    while lowering:
         known = heads.df
         via = known.select("storefront", F.col("t").alias("s"), F.col("h").alias("g"))
         offers = earlier.join(via, ["storefront", "s"]).select("storefront", "t", "g") \
@@ -134,10 +135,7 @@ def variant_heads(terms: DataFrame, ratio: int = T.fuzzy_dedup_ratio, max_rounds
             n_lowered=F.count_if("lowered"))
         heads.drop()
         heads = lowered
-        if heads.metrics["n_lowered"] == 0:
-            break
-    else:
-        raise RuntimeError("variant heads did not settle")
+        lowering = heads.metrics["n_lowered"] > 0
     grouped = heads.df.select("storefront", F.col("t.text").alias("term"), F.col("h.text").alias("head"))
     alone = terms.select("storefront", "term").distinct().filter(squash(F.col("term")) == "")
     return grouped.unionByName(alone.select("storefront", "term", F.col("term").alias("head")))

@@ -9,8 +9,9 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from demandscope.config import POPULARITY_DEPTH, STOREFRONTS
+from demandscope.config import STOREFRONTS
 from demandscope.functions.text import normalize_term, tokens, words
+from demandscope.operators.ranking import rank_within
 from demandscope.schemas import RAW_APP
 
 AS_OF = date(2002, 1, 1)          # after the last order and shipment
@@ -59,11 +60,9 @@ def sold(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
 
 
 def _ranked(volumes: DataFrame, granularity: str) -> DataFrame:
-    """The popularity table: the best terms per (country, genre, period), ranked by volume."""
-    order = Window.partitionBy("country", "genre", "period").orderBy(F.desc("volume"), "term")
+    """The popularity table: all terms per (country, genre, period), ranked by volume."""
     return (
-        volumes.withColumn("rank_in_genre", F.row_number().over(order))
-        .filter(F.col("rank_in_genre") <= POPULARITY_DEPTH)
+        rank_within(volumes, ["country", "genre", "period"], [F.desc("volume"), F.asc("term")], "rank_in_genre")
         .select("term", "country", "genre", "period", F.lit(granularity).alias("granularity"),
                 "rank_in_genre",
                 F.greatest(F.lit(1), 101 - F.col("rank_in_genre")).alias("pop_1to100"))

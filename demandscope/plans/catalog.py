@@ -824,7 +824,7 @@ def collection_heads(spark, sf):
 # --- niches ----------------------------------------------------------------------------------
 
 def _queue(spark, sf):
-    return N.queue(RS.scored(B.keyword_lists(spark, sf)), limit=5000)
+    return N.queue(RS.scored(B.keyword_lists(spark, sf)))
 
 
 def _hidden(spark, sf):
@@ -959,12 +959,12 @@ def _stream_folders(spark):
 
 @query
 def stream_daily_metrics(spark, sf):
-    """One reading per item and day from the event stream; days behind the watermark are out."""
+    """One reading per item and day from the event stream."""
     readings = _stream(spark, sf, "events").select(
         F.col("user_id").alias("track_id"), F.lit("us").alias("storefront"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("reading_id"), F.col("value").alias("rating"), F.lit(1).alias("rating_count"))
     table, checkpoint = _stream_folders(spark)
-    ingest.append_stream(ingest.daily_metrics(readings), table, checkpoint).awaitTermination()
+    ingest.upsert_daily_metrics(readings, table, checkpoint).awaitTermination()
     return spark.read.parquet(table).select("track_id", "storefront", "day", "rating")
 
 

@@ -19,10 +19,10 @@ from demandscope.session import stage
 KEY = ["term", "storefront"]
 
 
-def queue(scored_keywords: DataFrame, limit: int = 50) -> DataFrame:
-    """Queued keywords with their newest score, features and list, best first."""
-    return scored_keywords.filter(F.col("status") == "queued").orderBy(
-        F.desc("score"), "term", "storefront").limit(limit)
+def queue(scored_keywords: DataFrame, limit: int | None = None) -> DataFrame:
+    """Queued keywords with their newest score, features and list; with a limit the best ones, best first."""
+    queued = scored_keywords.filter(F.col("status") == "queued")
+    return queued if limit is None else queued.orderBy(F.desc("score"), "term", "storefront").limit(limit)
 
 
 def queue_json(queued: DataFrame) -> DataFrame:
@@ -147,16 +147,12 @@ def unjudged(niches: DataFrame, verdicts: DataFrame, limit: int) -> DataFrame:
         F.desc("score"), "term", "storefront").limit(limit)
 
 
-def export_rows(niches: DataFrame, variants: DataFrame, shown: int = 100) -> DataFrame:
-    """The eleven export columns per niche.
-
-    ``варианты`` lists the best ``shown`` variants; export ``variants`` next to it, which holds
-    all of them however large a cluster is.
-    """
+def export_rows(niches: DataFrame, variants: DataFrame) -> DataFrame:
+    """The eleven export columns per niche; ``варианты`` lists all variants, best first."""
     leader = F.try_element_at("apps", F.lit(1))
-    listed = newest_rows(variants, ["head", "storefront"], [F.desc("score"), F.asc("variant")], shown).groupBy(
-        F.col("head").alias("term"), "storefront").agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("_place", "variant"))), lambda r: r["variant"]), ", ").alias("listed"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "variant")))
+    listed = variants.groupBy(F.col("head").alias("term"), "storefront").agg(
+        F.array_join(F.transform(ranked, lambda r: r["variant"]), ", ").alias("listed"))
     stale = F.concat((F.col("stale_share") * 10).cast("int").cast("string"), F.lit("/10"))
     return with_rating(niches).join(listed, KEY, "left").select(
         F.col("stars").alias("звёзды"), F.upper("storefront").alias("магазин"), F.col("term").alias("ниша"),

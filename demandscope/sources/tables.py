@@ -54,20 +54,42 @@ def overwrite_partitions(df: DataFrame, path: str, *partition_by: str) -> None:
      .partitionBy(*partition_by).parquet(path))
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the finished pointers of a published table, ascending."""
+    files, target = _file_system(spark, f"{root}/pointers")
+    if not files.exists(target):
+        return []
+    names = [status.getPath() for status in files.listStatus(target)]
+    return sorted(int(p.getName()) for p in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def publish(df: DataFrame, root: str) -> str:
-    """Write a new version of a keyed table and point readers at it.
+    """Write a new version of a keyed table, then a pointer with the next number.
 
-    A job cannot overwrite the files it reads, so each merge writes a new folder.
+    A job cannot overwrite the files it reads, so each merge writes a new folder. Older pointers stay, so readers
+    always find one.
     """
     spark = df.sparkSession
     version = f"{root}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    number = max(_pointers(spark, root), default=0) + 1
+    spark.createDataFrame([(version,)], "path string").coalesce(1).write.json(f"{root}/pointers/{number:012d}")
     return version
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
-    path = spark.read.schema("path string").json(f"{root}/current").first().path
+    newest = max(_pointers(spark, root))
+    path = spark.read.schema("path string").json(f"{root}/pointers/{newest:012d}").first().path
     return spark.read.parquet(path)
 
 

@@ -6,10 +6,13 @@ needed; the checkpoint remembers what was read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from demandscope.session import stage
+from demandscope.session import Staged
 from demandscope.sources import tables
 
 
@@ -17,20 +20,6 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def daily_metrics(readings: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """One reading per (item, storefront, day): the last one by time, late ones included.
-
-    A day is emitted once the watermark has passed it, so append mode writes it once.
-    """
-    day = F.window("ts", "1 day")
-    last = F.max_by(F.struct("rating", "rating_count"), F.struct("ts", "reading_id"))
-    return (
-        readings.withWatermark("ts", lateness).groupBy("track_id", "storefront", day).agg(last.alias("m"))
-        .select("track_id", "storefront", F.col("window.start").cast("date").alias("day"),
-                "m.rating", "m.rating_count")
-    )
-
-
 def append_stream(rows: DataFrame, path: str, checkpoint: str, *partition_by: str) -> StreamingQuery:
     """Land rows in an append-only table."""
     return (
@@ -39,31 +28,24 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, *partition_by: st
     )
 
 
-POPULARITY_KEY = ["term", "country", "genre", "period", "granularity"]
+def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str],
+                  partition_by: list[str]) -> StreamingQuery:
+    """Keep the row with the greatest ``order`` per key; late rows correct the table, a replay changes nothing.
 
-
-def upsert_popularity(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep one row per popularity key; replaying a batch changes nothing.
-
-    Every micro-batch rewrites the partitions (granularity, period) it touches from the
-    version before it, so the merge reads only those.
+    Every micro-batch rewrites the partitions it touches from the version before it, so the merge reads only those.
+    A null is a partition like any other.
     """
-    order = ["pulled_at", "pop_1to100"]
-
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        fresh = tables.last_wins(batch.filter(F.lit(False)), batch, POPULARITY_KEY, order)
-        touched = batch.select("granularity", "period").distinct()
-        try:
-            stored = spark.read.schema(batch.schema).parquet(path).join(touched, ["granularity", "period"], "left_semi")
-            merged = tables.last_wins(stored.select(*batch.columns), fresh, POPULARITY_KEY, order)
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            merged = fresh
-        staged = stage(merged, "upsert")
-        tables.overwrite_partitions(staged, path, "granularity", "period")
+        stored = batch.filter(F.lit(False))
+        if tables.exists(spark, path):
+            touched = batch.select(*[F.col(c).alias(f"_{c}") for c in partition_by]).distinct()
+            same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in partition_by))
+            stored = spark.read.schema(batch.schema).parquet(path).join(touched, same, "left_semi").select(*batch.columns)
+        staged = Staged(tables.last_wins(stored, batch, key, order), "upsert")
+        tables.overwrite_partitions(staged.df, path, *partition_by)
+        staged.drop()
         batch.unpersist()
 
     return (
@@ -71,3 +53,16 @@ def upsert_popularity(rows: DataFrame, path: str, checkpoint: str) -> StreamingQ
         .trigger(availableNow=True).start()
     )
 
+
+def upsert_daily_metrics(readings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """One reading per (item, storefront, day): the last one by time, however late it comes."""
+    return upsert_stream(readings.withColumn("day", F.col("ts").cast("date")), path, checkpoint,
+                         ["track_id", "storefront", "day"], ["ts", "reading_id"], ["day"])
+
+
+POPULARITY_KEY = ["term", "country", "genre", "period", "granularity"]
+
+
+def upsert_popularity(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """One row per popularity key: the one pulled last."""
+    return upsert_stream(rows, path, checkpoint, POPULARITY_KEY, ["pulled_at", "pop_1to100"], ["granularity", "period"])

@@ -23,7 +23,7 @@ def _ranked(volumes: str, granularity: str) -> str:
   SELECT term, country, genre, period, '{granularity}' AS granularity, rank_in_genre::INT AS rank_in_genre,
          greatest(1, 101 - rank_in_genre)::INT AS pop_1to100
   FROM (SELECT *, row_number() OVER (PARTITION BY country, genre, period ORDER BY volume DESC, term) AS rank_in_genre
-        FROM ({volumes})) WHERE rank_in_genre <= 500"""
+        FROM ({volumes}))"""
 
 
 CTES["sold_month"] = _sold("month")

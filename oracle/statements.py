@@ -687,7 +687,7 @@ FROM (SELECT DISTINCT storefront, head AS term FROM c_heads) JOIN probed USING (
 QUALIFY row_number() OVER (PARTITION BY storefront ORDER BY coalesce(position, 99), term) <= 60"""
 
 # --- niches ----------------------------------------------------------------------------------
-_b.CTES["queue"] = "SELECT * FROM scored WHERE status = 'queued' ORDER BY score DESC, term, storefront LIMIT 5000"
+_b.CTES["queue"] = "SELECT * FROM scored WHERE status = 'queued'"
 _b.CTES["q_rows"] = "SELECT * FROM list_rows WHERE (term, storefront) IN (SELECT (term, storefront) FROM queue)"
 _cluster_ctes("q", "q_rows")
 _b.CTES["niche_heads"] = f"""
@@ -762,9 +762,8 @@ SQL["queue_csv"] = f"""
 SELECT stars AS звёзды, upper(r.storefront) AS магазин, r.term AS ниша, cluster_size AS запросов, score, leader_title AS лидер,
   leader_rating AS рейтинг, top1_reviews AS отзывы, floor(stale_share * 10)::INT || '/10' AS устарело, flags AS флаги,
   coalesce(listed, '') AS варианты FROM ({_rated("SELECT * FROM niches")}) r
-LEFT JOIN (SELECT head, storefront, string_agg(variant, ', ' ORDER BY score DESC, variant) AS listed FROM (
-    SELECT *, row_number() OVER (PARTITION BY head, storefront ORDER BY score DESC, variant) AS rn FROM niche_variants)
-  WHERE rn <= 100 GROUP BY 1, 2) v ON r.term = head AND r.storefront = v.storefront"""
+LEFT JOIN (SELECT head, storefront, string_agg(variant, ', ' ORDER BY score DESC, variant) AS listed
+  FROM niche_variants GROUP BY 1, 2) v ON r.term = head AND r.storefront = v.storefront"""
 SQL["dossiers"] = f"""
 WITH h AS (SELECT term, storefront FROM queue ORDER BY score DESC, term, storefront LIMIT 50),
 lines AS (SELECT term, storefront, string_agg(pos || ' | ' || substr(title, 1, 48) || ' | ' || coalesce(rating, 0.0) || ' | ' || rating_count || ' | '
@@ -798,7 +797,6 @@ FROM (SELECT term, storefront, count(*) AS n, sum((price > 0)::INT) AS n_paid, s
 # --- streams ---------------------------------------------------------------------------------
 SQL["stream_daily_metrics"] = """
 SELECT user_id AS track_id, 'us' AS storefront, ts::DATE AS day, value AS rating FROM events
-WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY
 QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) = 1"""
 SQL["stream_suggestions"] = SQL["decode_suggestions"]
 SQL["stream_popularity"] = f"SELECT term, country, genre, period, pop_1to100 FROM ({SQL['popularity_upsert']})"

@@ -9,8 +9,9 @@ from demandscope.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[4]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="6g")
+def spark(tmp_path_factory):
+    session = build_session("local[4]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
+                            spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")))
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

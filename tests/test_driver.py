@@ -1,5 +1,8 @@
 """The driver contract, and a sample of queries against their SQL on the smallest tables."""
 
+import os
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -24,6 +27,18 @@ def test_entry(spark):
     assert driver.entry(spark).count() > 0
 
 
+def test_entry_runs_outside_the_repository(tmp_path):
+    """Python workers must not need the package on their path."""
+    code = (f"import sys; sys.path.insert(0, {str(Path(driver.__file__).parent)!r})\n"
+            "import __spark_entry__ as driver\n"
+            "from pyspark.sql import SparkSession\n"
+            "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "print('rows', driver.entry(spark).count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert run.returncode == 0 and int(run.stdout.split("rows ")[1]) > 0, run.stderr[-2000:]
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

@@ -106,6 +106,9 @@ def test_published_tables_and_exports(spark, tmp_path):
     again = tables.read_published(spark, root).union(spark.range(3, 5))
     tables.publish(again, root)
     assert tables.read_published(spark, root).count() == 5
+    for n in range(10):  # numbers go on past one digit, and the newest is read
+        tables.publish(spark.range(n), root)
+    assert tables.read_published(spark, root).count() == 9
     tables.export_csv(spark.range(2), str(tmp_path / "csv"))
     tables.export_json(spark.range(2), str(tmp_path / "json"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
@@ -180,10 +183,18 @@ def test_daily_metric_stream_takes_late_rows(spark, tmp_path):
                [(1, day + timedelta(days=9), 4, 4.2, 30)]]
     for rows in batches:
         spark.createDataFrame([(t, "us", ts, i, r, c) for t, ts, i, r, c in rows], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = ingest.daily_metrics(ingest.file_stream(spark, str(tmp_path / "in"), shape))
-        ingest.append_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), "day").awaitTermination()
+        ingest.upsert_daily_metrics(ingest.file_stream(spark, str(tmp_path / "in"), shape), str(tmp_path / "out"),
+                                    str(tmp_path / "check")).awaitTermination()
     got = {(r.day, r.rating_count) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(date(2024, 1, 1), 10), (date(2024, 1, 2), 20)}
+    assert got == {(date(2024, 1, 1), 10), (date(2024, 1, 2), 20), (date(2024, 1, 10), 30)}
+
+
+def test_popularity_stream_keeps_null_periods(spark, tmp_path):
+    for n, term in enumerate("ab"):
+        spark.createDataFrame([(term, "us", "U", None, "W", 1, 1, 1, 1, NOW)], POPULARITY).write.parquet(str(tmp_path / f"in{n}"))
+        ingest.upsert_popularity(ingest.file_stream(spark, str(tmp_path / f"in{n}"), POPULARITY), str(tmp_path / "out"),
+                                 str(tmp_path / f"check{n}")).awaitTermination()
+    assert {(r.term, r.period) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", None), ("b", None)}
 
 
 def test_popularity_stream_is_idempotent(spark, tmp_path):
