@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandscope.config import BROAD_TERMS, STOPWORDS, probe_suffixes, seed_order
 from demandscope.functions.text import root_matches, singularize, tokens
+from demandscope.operators.containment import containing
 from demandscope.operators.series import newest_rows
 
 
@@ -168,23 +169,10 @@ def metadata_tokens(lists: DataFrame) -> DataFrame:
 
 
 def related_suggestions(terms: DataFrame, suggestions: DataFrame, limit: int = 30) -> DataFrame:
-    """Suggestions containing a term's first token, best places first.
-
-    Containment becomes an equi-join on a three-letter gram (shorter for shorter
-    tokens), checked afterwards. Suggestions are cut to one row per term beforehand.
-    """
+    """Suggestions containing a term's first token, best places first."""
     wanted = terms.select("storefront", F.lower(F.try_element_at(tokens(F.col("term")), F.lit(1))).alias("token")) \
         .filter(F.col("token").isNotNull()).distinct()
-    wanted = wanted.withColumn("gram", F.substring("token", 1, 3))
-    size = F.length("suggestion")
-    grams = lambda k: F.transform(
-        F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1))),
-        lambda i: F.lower(F.col("suggestion")).substr(i, F.lit(k)))
-    best = (
-        suggestions.groupBy("storefront", F.col("term").alias("suggestion"))
-        .agg(F.min("position").alias("position"))
-        .select("*", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
-    )
-    pairs = wanted.join(best, ["storefront", "gram"]).filter(F.lower("suggestion").contains(F.col("token")))
+    best = suggestions.groupBy("storefront", F.col("term").alias("suggestion")).agg(F.min("position").alias("position"))
+    pairs = containing(wanted, best, "suggestion").join(best, ["storefront", "suggestion"])
     return newest_rows(pairs, ["storefront", "token"], [F.asc("position"), F.asc("suggestion")], limit).select(
         "storefront", "token", "suggestion", "position", F.col("_place").alias("place"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandscope.functions.text import tokens
+from demandscope.operators.containment import containing
 from demandscope.operators.series import newest_rows
 
 
@@ -34,7 +35,7 @@ def hit_rate(proposals: DataFrame) -> DataFrame:
     """Count and share per status."""
     counts = proposals.groupBy("status").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # a row per status
-    return counts.select("status", "n", (F.col("n") / total.scalar()).alias("share"))
+    return counts.select("status", "n", (F.col("n") / total).alias("share"))
 
 
 def demand_check(proposals: DataFrame, suggestions: DataFrame) -> DataFrame:
@@ -60,19 +61,10 @@ def verification_status(has_list: Column, gates: Column, verdict: Column) -> Col
 
 
 def related_exclusions(seeds: DataFrame, excluded: DataFrame, limit: int = 40) -> DataFrame:
-    """Per seed, the first excluded queries (alphabetically) that contain one of its words.
-
-    Containment is found through an equi-join on the word's first three letters.
-    """
+    """Per seed, the first excluded queries (alphabetically) that contain one of its words."""
     key = ["term", "storefront"]
-    wanted = seeds.select(*key, F.explode(F.array_distinct(tokens(F.col("term")))).alias("word")) \
-        .withColumn("gram", F.substring("word", 1, 3))
-    size = F.length("query")
-    grams = lambda k: F.transform(
-        F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1))), lambda i: F.col("query").substr(i, F.lit(k)))
-    indexed = excluded.select("query", "storefront", F.explode(F.array_distinct(
-        F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
-    matched = wanted.join(indexed, ["storefront", "gram"]).filter(F.col("query").contains(F.col("word")))
+    wanted = seeds.select(*key, F.explode(F.array_distinct(tokens(F.col("term")))).alias("token"))
+    matched = wanted.join(containing(wanted, excluded, "query"), ["storefront", "token"]).withColumnRenamed("token", "word")
     # the first `limit` per word, so that a common word is cut before words are united
     per_word = newest_rows(matched, [*key, "word"], [F.asc("query")], limit).select(*key, "query").distinct()
     return newest_rows(per_word, key, [F.asc("query")], limit).select(

@@ -223,8 +223,11 @@ def document_lists(spark: SparkSession, sf_dir: str, depth: int = 10) -> DataFra
 
 # --- suggestions, metrics, decisions -------------------------------------------------------
 
-def suggestion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as landed suggestions: first token as prefix, first three as term."""
+def suggestion_rows(spark: SparkSession, sf_dir: str, opening: int | None = None) -> DataFrame:
+    """Lines of documents as landed suggestions: first token as prefix, the line as term.
+
+    Typed queries are short: ``opening`` takes only so many words, for the spelling variants.
+    """
     # the words are made before the explode: a filter above it cannot make them again
     words_of = F.transform(F.split("text", "\n"), lambda raw: tokens(normalize_term(raw)))
     lines = text_table(spark, sf_dir, "documents", "doc_id").select(
@@ -234,13 +237,13 @@ def suggestion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.filter(F.size("ws") >= 2)
         .select(
             "doc_id", "line", "storefront", F.col("ws")[0].alias("prefix"),
-            F.array_join(F.slice("ws", 1, 3), " ").alias("term"), (F.col("line") % 10 + 1).alias("position"),
+            F.array_join(F.slice("ws", 1, opening) if opening else F.col("ws"), " ").alias("term"), (F.col("line") % 10 + 1).alias("position"),
             (base + F.make_dt_interval((F.col("doc_id") % 90).cast("int"))).alias("seen_at"))
     )
 
 
-def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suggestion_rows(spark, sf_dir).select("prefix", "term", "position", "storefront", "seen_at")
+def suggestions(spark: SparkSession, sf_dir: str, opening: int | None = None) -> DataFrame:
+    return suggestion_rows(spark, sf_dir, opening).select("prefix", "term", "position", "storefront", "seen_at")
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -808,17 +808,17 @@ def cluster_items(spark, sf):
 
 @query
 def fuzzy_pairs(spark, sf):
-    return variants.fuzzy_pairs(B.suggestions(spark, sf)).select("storefront", "a", "b", _r6("ratio"))
+    return variants.fuzzy_pairs(B.suggestions(spark, sf, opening=3)).select("storefront", "a", "b", _r6("ratio"))
 
 
 @query
 def variant_heads(spark, sf):
-    return variants.variant_heads(B.suggestions(spark, sf))
+    return variants.variant_heads(B.suggestions(spark, sf, opening=3))
 
 
 @query
 def collection_heads(spark, sf):
-    return RS.collection_heads(B.suggestions(spark, sf), max_snapshots=60)
+    return RS.collection_heads(B.suggestions(spark, sf, opening=3), max_snapshots=60)
 
 
 # --- niches ----------------------------------------------------------------------------------

@@ -85,12 +85,13 @@ CTES["doc_rows"] = """
           SELECT doc_id, lang AS storefront, unnest(list_distinct(""" + toks("lower(text)") + """)) AS token FROM documents)))
   WHERE pos <= 10"""
 CTES["sugg_rows"] = f"""
-  SELECT doc_id, line, storefront, ws[1] AS prefix, array_to_string(ws[1:3], ' ') AS term,
+  SELECT doc_id, line, storefront, ws[1] AS prefix, array_to_string(ws, ' ') AS term,
          line % 10 + 1 AS position, TIMESTAMP '2024-01-01' + to_days((doc_id % 90)::INT) AS seen_at
   FROM (SELECT doc_id, lang AS storefront, line - 1 AS line, {toks(norm('raw'))} AS ws
         FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS raw,
                      generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents))
   WHERE len(ws) >= 2"""
+CTES["sugg_short"] = CTES["sugg_rows"].replace("array_to_string(ws, ' ') AS term", "array_to_string(ws[1:3], ' ') AS term")
 CTES["metrics"] = """
   SELECT track_id, 'us' AS storefront, day,
          floor(cents::DOUBLE / (n * 100) * 10) / 100.0::DOUBLE + 2.0::DOUBLE AS rating,

@@ -646,7 +646,7 @@ SELECT storefront, cluster_id, term AS head, n_members FROM (
 SQL["cluster_items"] = """
 SELECT storefront, cluster_id, count(DISTINCT track_id) AS n_items FROM doc_members JOIN doc_rows USING (storefront, term)
 WHERE track_id <> 0 GROUP BY 1, 2"""
-_b.CTES["squashed"] = f"SELECT storefront, term, {S.squash('term')} AS sq FROM (SELECT DISTINCT storefront, term FROM sugg_rows)"
+_b.CTES["squashed"] = f"SELECT storefront, term, {S.squash('term')} AS sq FROM (SELECT DISTINCT storefront, term FROM sugg_short)"
 _b.CTES["close_forms"] = f"""
   SELECT storefront, x, y, lcs * 200.0::DOUBLE / (length(x) + length(y)) AS ratio FROM (
     SELECT storefront, x, y, {S.lcs('x', 'y')} AS lcs FROM (
@@ -673,10 +673,10 @@ _b.CTES["heads"] = """
   SELECT q.storefront, q.term, coalesce(h, q.term) AS head FROM squashed q
   LEFT JOIN (SELECT storefront, t, arg_min(s, (length(s), s)) AS h FROM walks GROUP BY 1, 2) w ON q.storefront = w.storefront AND q.term = w.t"""
 SQL["variant_heads"] = "SELECT storefront, term, head FROM heads"
-_b.CTES["probed"] = f"SELECT storefront, term, min(position)::INT AS position FROM {_MATCHED} GROUP BY 1, 2"
+_b.CTES["probed"] = f"SELECT storefront, term, min(position)::INT AS position FROM {_MATCHED.replace('sugg_rows', 'sugg_short')} GROUP BY 1, 2"
 _CH = {"squashed": "c_squashed", "close_forms": "c_close", "earlier": "c_earlier", "walks": "c_walks", "heads": "c_heads"}
 for _name, _new in _CH.items():
-    _text = _b.CTES[_name].replace("FROM sugg_rows", "FROM probed")
+    _text = _b.CTES[_name].replace("FROM sugg_short", "FROM probed")
     for _old, _other in _CH.items():
         _text = re.sub(rf"\b(FROM|JOIN) {_old}\b", rf"\1 {_other}", _text)
     _b.CTES[_new] = _text
