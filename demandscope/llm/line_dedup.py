@@ -15,7 +15,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,14 +160,20 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """line_id, meets (key, chunks): the keys under which a line has candidates; of keys with the same lines, one."""
-    keyed = stage(keyed_lines(docs).distinct(), "line-keys")
-    shared = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("line_id")).alias("a"),
-        F.bit_xor(F.xxhash64(F.lit(7), "line_id")).alias("b")).where("n > 1")
-    kept = shared.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select(
+    """line_id, meets (key, chunks): the keys under which a line has candidates; of keys with the same lines, one.
+
+    The keys are shuffled once, and only those of two different lines go on. A line that several slices emit is counted
+    as often under each of its keys, so equal sums still mean equal lines.
+    """
+    key = Window.partitionBy("key")
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), "line_id").bitwiseAND(F.lit(0x7FFFFFFF))).over(key)
+    shared = stage(keyed_lines(docs).select(
+        "key", "line_id", F.count("*").over(key).alias("n"), F.min("line_id").over(key).alias("low"),
+        F.max("line_id").over(key).alias("high"), part(1).alias("a"), part(2).alias("b")).where("low != high"), "line-keys")
+    kept = shared.groupBy("n", "low", "high", "a", "b").agg(F.min("key").alias("key")).select(
         "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    return keyed.join(kept, "key").groupBy("line_id").agg(F.collect_list(F.struct("key", "chunks")).alias("meets"))
+    return shared.select("key", "line_id").join(kept, "key").groupBy("line_id").agg(
+        F.collect_set(F.struct("key", "chunks")).alias("meets"))
 
 
 class _Settling:
