@@ -64,7 +64,7 @@ def pairs_of(text: str) -> list[str]:
 
 def bounds(n: int, threshold: float) -> tuple[float, float]:
     """Least and most pairs of a unit that can reach the threshold against ``n`` pairs."""
-    return threshold * n / (2 - threshold), (2 - threshold) * n / threshold
+    return threshold * n / (2 - threshold) - 1e-9, (2 - threshold) * n / threshold + 1e-9
 
 
 def gate_words(templates: list[list[str]], threshold: float) -> list[str]:

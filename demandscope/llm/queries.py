@@ -97,7 +97,7 @@ SQL = {
         dice AS (
             SELECT r, unit, place, i, license, 2.0::DOUBLE * len(list_intersect(up, tp)) / (len(up) + len(tp)) AS d
             FROM pairs JOIN template
-            ON len(up) BETWEEN {_T} * len(tp) / (2 - {_T}) AND (2 - {_T}) * len(tp) / {_T}),
+            ON len(up) BETWEEN {_T} * len(tp) / (2 - {_T}) - 1e-9 AND (2 - {_T}) * len(tp) / {_T} + 1e-9),
         best AS (
             SELECT r, unit, place, arg_min(license, i) AS license, any_value(d) AS d FROM (
                 SELECT *, max(d) OVER (PARTITION BY r, unit, place) AS top FROM dice WHERE d >= {_T})
