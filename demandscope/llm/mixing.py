@@ -41,9 +41,9 @@ def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 def default_weights(rows: DataFrame, period: int = PERIOD, temperature: float = TEMPERATURE) -> DataFrame:
     """source, weight: whole numbers of at least 1, in proportion to characters ** temperature."""
     sizes = rows.groupBy("source").agg(F.pow(F.sum("chars") + 1, F.lit(temperature)).alias("size"))
-    total = sizes.agg(F.sum("size").alias("all"))
-    return sizes.join(total, F.lit(True)).select(  # the total is one row
-        "source", F.greatest(F.lit(1), F.round(F.lit(period) * F.col("size") / F.col("all"))).cast("long").alias("weight"))
+    total = sizes.agg(F.sum("size")).scalar()
+    return sizes.select(
+        "source", F.greatest(F.lit(1), F.round(F.lit(period) * F.col("size") / total)).cast("long").alias("weight"))
 
 
 def _edf(weights: Column, period: Column) -> Column:
