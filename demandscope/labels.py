@@ -1,11 +1,11 @@
 """Human-readable text that is part of stored results."""
 
 # Score notes ({n} is a count).
-NOTE_STALE = ("", "/10 в топе не обновлялись больше года")
-NOTE_NO_LOCAL = ("", "/5 из топа без локализации")
+NOTE_STALE = "/10 в топе не обновлялись больше года"
+NOTE_NO_LOCAL = "/5 из топа без локализации"
 NOTE_IRRELEVANT = "топ-1 слабо релевантен запросу — Apple не нашёл ничего лучше"
 NOTE_THIN = "топ-3 тонкий по отзывам"
-NOTE_PAID = ("", "/10 в топе платные — спрос платежеспособен")
+NOTE_PAID = "/10 в топе платные — спрос платежеспособен"
 NOTE_WATCH = "лидер силён — следим за деградацией рейтинга"
 NOTE_NONE = "прошёл гейты, но явных признаков слабости топа нет — слабый кандидат"
 LEADING_FACTOR = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from demandscope.config import BROAD_TERMS, STOPWORDS, probe_suffixes, seed_order
+from demandscope.config import BROAD_TERMS, REPROBE_AFTER_DAYS, STOPWORDS, probe_suffixes, seed_order
 from demandscope.functions.text import root_matches, singularize, tokens
 from demandscope.operators.containment import containing
 from demandscope.operators.series import newest_rows
@@ -98,7 +98,7 @@ def next_probes(objects: DataFrame, ledger: DataFrame, limit: int, min_count: in
     )
 
 
-def stalest(ledger: DataFrame, as_of: Column, limit: int, min_age_days: int = 7) -> DataFrame:
+def stalest(ledger: DataFrame, as_of: Column, limit: int, min_age_days: int = REPROBE_AFTER_DAYS) -> DataFrame:
     """Longest-unprobed prefixes older than the cut-off."""
     cutoff = as_of - F.make_dt_interval(F.lit(min_age_days))
     return (
@@ -112,7 +112,7 @@ def seed_table(ledger: DataFrame) -> DataFrame:
 
 
 def plan_roots(ledger: DataFrame, evidence: DataFrame, objects: DataFrame, as_of: Column, n: int,
-               min_age_days: int = 7) -> DataFrame:
+               min_age_days: int = REPROBE_AFTER_DAYS) -> DataFrame:
     """The next ``n`` roots of one storefront.
 
     Filled from fresh seeds, promotable verbs, frontier objects, then stale prefixes. Each

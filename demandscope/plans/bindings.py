@@ -193,7 +193,7 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def languages(rows: DataFrame) -> DataFrame:
     """Add the metadata language of the storefront; unknown storefronts read as the first one."""
-    known = F.create_map(*[F.lit(x) for key, lang, _, _ in STOREFRONTS for x in (key, lang)])
+    known = F.create_map(*[F.lit(x) for key, lang in STOREFRONTS for x in (key, lang)])
     return rows.withColumn("lang", F.coalesce(known[F.col("storefront")], F.lit(STOREFRONTS[0][1])))
 
 

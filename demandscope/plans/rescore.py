@@ -61,7 +61,7 @@ def enrich(candidates: DataFrame, snapshots: DataFrame, known: DataFrame) -> Dat
     Unknown storefronts and terms that already have a list are counted by ``outcome`` instead
     of scored. The brand outcome rests on name similarity alone.
     """
-    stores = F.create_map(*[F.lit(x) for key, lang, _, _ in STOREFRONTS for x in (key, lang)])
+    stores = F.create_map(*[F.lit(x) for key, lang in STOREFRONTS for x in (key, lang)])
     base = candidates.select("term", F.lower("country").alias("storefront"), "popularity").withColumn(
         "lang", stores[F.col("storefront")])
     had = known.select(*KEY, F.lit(True).alias("had_list")).distinct()

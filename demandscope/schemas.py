@@ -17,8 +17,6 @@ APP = """
            days_since_update: int, age_days: int, languages: array<string>>
 """
 
-LIST = f"term string, storefront string, taken_at timestamp, apps array<{APP}>"
-
 RAW_POPULARITY = """
     searchTerm string, countryOrRegion string, genre string, week string, month string,
     rankInGenre int, searchPopularityInGenre int, searchPopularity1to100 int, searchPopularity1to5 int
@@ -29,21 +27,4 @@ POPULARITY = """
     rank_in_genre int, pop_in_genre int, pop_1to100 int, pop_1to5 int, pulled_at timestamp
 """
 
-SUGGESTION = "prefix string, term string, position int, storefront string, seen_at timestamp"
-KEYWORD = """
-    term string, storefront string, source string, canonical_term string, suggest_pos int,
-    cluster_head string, kw_type string, status string, first_seen timestamp, last_seen timestamp
-"""
 METRIC = "track_id bigint, storefront string, day date, rating double, rating_count bigint"
-DECISION = "term string, storefront string, decided_at timestamp, verdict string, reason string"
-FACT = """
-    term string, storefront string, loaded_at timestamp, popularity double, difficulty double, rank int
-"""
-VERDICT = """
-    term string, storefront string, judged_at timestamp, category string, intent string,
-    monetization string, niche_name string, confidence double, note string, model string
-"""
-PROPOSAL = """
-    query string, storefront string, source_term string, why string, proposed_at timestamp,
-    status string, checked_at timestamp, note string
-"""

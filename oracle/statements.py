@@ -317,11 +317,11 @@ _b.CTES["scored"] = f"""
   FROM (SELECT *, {S.half_up("sqrt(weakness * market * demand_proxy * coherence_factor) * 100", 1)} AS score,
     CASE gates_failed WHEN '' THEN 'queued' WHEN 'unbeatable_top3' THEN 'watchlist' ELSE 'rejected' END AS verdict,
     list_filter([
-      CASE WHEN stale_share >= 0.5 THEN floor(stale_share * 10)::INT || '{L.NOTE_STALE[1]}' END,
-      CASE WHEN no_localization_share >= 0.6 THEN floor(no_localization_share * 5)::INT || '{L.NOTE_NO_LOCAL[1]}' END,
+      CASE WHEN stale_share >= 0.5 THEN floor(stale_share * 10)::INT || '{L.NOTE_STALE}' END,
+      CASE WHEN no_localization_share >= 0.6 THEN floor(no_localization_share * 5)::INT || '{L.NOTE_NO_LOCAL}' END,
       CASE WHEN top1_relevance < 0.5 THEN '{L.NOTE_IRRELEVANT}' END,
       CASE WHEN top3_reviews_median < 2000 THEN '{L.NOTE_THIN}' END,
-      CASE WHEN paid_count > 0 THEN paid_count || '{L.NOTE_PAID[1]}' END], lambda cn: cn IS NOT NULL) AS crossed,
+      CASE WHEN paid_count > 0 THEN paid_count || '{L.NOTE_PAID}' END], lambda cn: cn IS NOT NULL) AS crossed,
     CASE greatest(weakness, market, demand_proxy, coherence_factor)
       WHEN weakness THEN '{L.LEADING_FACTOR["weakness"]} (ведущий фактор: weakness ' || weakness || ')'
       WHEN market THEN '{L.LEADING_FACTOR["market"]} (ведущий фактор: market ' || market || ')'
