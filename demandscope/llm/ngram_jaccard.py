@@ -18,7 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,38 +117,39 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    """Sets x bands: a key of each band's values and the band; never 0."""
+    """Sets x bands: a hash of each band's values over the band's number in the last bits; never 0."""
     wide = values.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), wide.shape[:2])
-    return combine(band, *(wide[:, :, i] for i in range(ROWS))).view(np.int64) | np.int64(1)
+    value = combine(*(wide[:, :, i] for i in range(ROWS))) * np.uint64(2 * BANDS)
+    return (value | np.uint64(BANDS) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def bands(sets: DataFrame) -> DataFrame:
-    """set_id, band, key of every band of every set that has a shingle."""
+    """set_id, key of every band of every set that has a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))),
-                 pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)), pa.array(keys.ravel())],
-                names=["set_id", "band", "key"])
+                [batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))), pa.array(keys.ravel())],
+                names=["set_id", "key"])
 
-    return sets.where("n_shingles > 0").select("set_id", "values").mapInArrow(run, "set_id binary, band int, key long")
+    return sets.where("n_shingles > 0").select("set_id", "values").mapInArrow(run, "set_id binary, key long")
 
 
 def members(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """set_id, meets (band, key, chunks): the buckets in which a set has candidates.
+    """set_id, meets (key, chunks): the buckets in which a set has candidates.
 
-    Of several buckets with the very same members only one is kept.
+    The keys are shuffled once, and only those of buckets with two members go on. Of several buckets with the very same
+    members only one is kept.
     """
-    keyed = stage(bands(sets), "jaccard-bands")
-    buckets = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("a"),
-        F.bit_xor(F.xxhash64(F.lit(7), "set_id")).alias("b")).where("n > 1")
-    kept = buckets.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select(
+    bucket = Window.partitionBy("key")
+    shared = stage(bands(sets).select(
+        "key", "set_id", F.count("*").over(bucket).alias("n"), F.bit_xor(F.xxhash64("set_id")).over(bucket).alias("a"),
+        F.bit_xor(F.xxhash64(F.lit(7), "set_id")).over(bucket).alias("b")).where("n > 1"), "jaccard-buckets")
+    kept = shared.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select(
         "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    return keyed.join(kept, "key").groupBy("set_id").agg(F.collect_list(F.struct("band", "key", "chunks")).alias("meets"))
+    return shared.select("key", "set_id").join(kept, "key").groupBy("set_id").agg(
+        F.collect_list(F.struct("key", "chunks")).alias("meets"))
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -209,7 +210,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def settle(table: pa.Table, threshold: float, tolerance: float) -> pa.Table:
     """The links of one pair of chunks: for every linked set its number of links here, and a set it is linked with."""
-    band, left, right = (table.column(c)[0].as_py() for c in ("band", "left", "right"))
+    key, left, right = (table.column(c)[0].as_py() for c in ("key", "left", "right"))
     ids = table.column("set_id").to_pylist()
     order = sorted({x: i for i, x in enumerate(ids)}.items())  # a set once, should its text be there twice
     table, ids = table.take(pa.array([i for _, i in order])), [x for x, _ in order]
@@ -218,12 +219,11 @@ def settle(table: pa.Table, threshold: float, tolerance: float) -> pa.Table:
     values = np.frombuffer(b"".join(table.column("values").to_pylist()), np.uint32).reshape(-1, VALUES)
     keys = np.zeros((len(ids), BANDS), dtype=np.int64)
     for row, meets in enumerate(table.column("meets").to_pylist()):
-        for meet in meets:
-            keys[row, meet["band"]] = meet["key"]
+        keys[row, np.array(meets) % BANDS] = meets
     chunk = table.column("chunk").to_numpy()
     a, b = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
     open_pairs = np.ones((a.size, b.size), dtype=bool) if left != right else np.triu(np.ones((a.size, a.size), dtype=bool), 1)
-    for earlier in range(band):  # these pairs are settled in an earlier bucket
+    for earlier in range(key % BANDS):  # these pairs are settled in an earlier bucket
         open_pairs &= ~((keys[a, earlier][:, None] == keys[b, earlier][None, :]) & (keys[a, earlier] != 0)[:, None])
     links = links_of([sets[x] for x in a], [sets[x] for x in b], values[a], values[b], open_pairs, threshold, tolerance)
     i, j = np.nonzero(links)
@@ -249,10 +249,9 @@ def jaccard_links(rows: DataFrame, sketched: DataFrame, threshold: float = THRES
         texts.select("set_id", "meets", "values", "text", F.explode("meets").alias("m"))
         .withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("m.chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m.chunks") - 1)))
-        .select("set_id", F.transform("meets", lambda m: F.struct(m["band"].alias("band"), m["key"].alias("key"))).alias("meets"),
-                "values", "text", "m.band", "m.key", "chunk", F.least("chunk", "other").alias("left"),
-                F.greatest("chunk", "other").alias("right")))
-    return blocks.groupBy("band", "key", "left", "right").applyInArrow(
+        .select("set_id", F.col("meets.key").alias("meets"), "values", "text", "m.key", "chunk",
+                F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right")))
+    return blocks.groupBy("key", "left", "right").applyInArrow(
         lambda table: settle(table, threshold, tolerance), "set_id binary, n long, root binary")
 
 
