@@ -16,7 +16,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-CACHE_WORDS = 300_000  # then the cache starts anew; a bound of memory, not of results
+CACHE_WORDS = 1_000_000  # then the cache starts anew; a bound of memory (about 200 MB), not of results
 LONGEST_CACHED = 64
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*()\[\]{}\"-]+)")
