@@ -1,9 +1,9 @@
 """Quality rules: base counts, and a log-likelihood ratio between trusted-target and raw-corpus multinomials.
 
-The hashed one- and two-word grams of every document are counted over the whole corpus; those of a documented sample
-of trusted documents make the target. A document's score is the mean log ratio of its grams, so its length does not
-matter, and a fixed threshold decides. A gram's ratio is drawn to 1 by ``prior`` target counts, so that rare grams of
-a small corpus condemn nobody.
+The hashed one- and two-word grams of every document are counted over the whole corpus; those of all trusted documents
+make the target. A document's score is the mean log ratio of its grams, so its length does not matter, and a fixed
+threshold decides. A gram's ratio is drawn to 1 by prior target counts: a least number, so that rare grams of a small
+corpus condemn nobody, and beyond it a share of the target, so that a larger corpus of the same make scores alike.
 """
 
 from __future__ import annotations
@@ -22,16 +22,15 @@ from demandscope.session import stage
 
 BITS = 16  # grams fall into 2**BITS buckets; a fixed table, whatever the corpus
 PRIOR = 20.0
+PRIOR_SHARE = PRIOR / 2_750_000  # of the target's grams; the target of sf0.1 has so many, there both priors are equal
 THRESHOLD = -0.05
-TARGET_DOCS = 20_000  # bound of the trusted sample
 LEAST_WORDS = 50
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
-def trusted_ids(labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
-    """Ids of trusted documents (labels.quality is 1): those with the least hashes, at most ``most``."""
-    good = labels.where(F.col("quality") == 1).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return stage(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "trusted")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all trusted documents (labels.quality is 1)."""
+    return stage(labels.where(F.col("quality") == 1).select("doc_id").where("doc_id IS NOT NULL").distinct(), "trusted")
 
 
 def grams(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +45,9 @@ def grams(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Counts by bucket over all documents, and over the trusted ones: two arrays of 2**bits numbers."""
     ship(docs.sparkSession)
-    marked = docs.join(trusted.select(F.col("doc_id"), F.lit(True).alias("trusted")), "doc_id", "left").select(
+    # hashed on either side at every size: the texts are then never sorted
+    flags = trusted.select(F.col("doc_id"), F.lit(True).alias("trusted")).hint("shuffle_hash")
+    marked = docs.join(flags, "doc_id", "left").select(
         "text", F.col("trusted").isNotNull().alias("trusted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +70,12 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> tuple[
     return raw, target
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """Log of target count over the count expected from the raw corpus; 0 where there is no target."""
+def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float | None = None) -> np.ndarray:
+    """Log of target count over the count expected from the raw corpus; 0 where there is no target.
+
+    Without ``prior`` it is PRIOR, or PRIOR_SHARE of the target where that is more.
+    """
+    prior = max(PRIOR, PRIOR_SHARE * target.sum()) if prior is None else prior
     expected = raw * (target.sum() / max(1, raw.sum()))
     return np.log((target + prior) / (expected + prior)) if target.sum() else np.zeros(raw.size)
 
@@ -104,7 +109,7 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR,
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, prior: float | None = None,
                   bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
                   ) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base counts, base_failed, kept, llr.

@@ -87,6 +87,23 @@ def test_ratio_is_the_sum_over_grams(spark):
     assert qr.quality_rules(frame(spark, rows).limit(0), labels).count() == 0
 
 
+def test_every_trusted_document_is_counted(spark):
+    n = 20_100
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    raw, target = qr.gram_counts(spark.range(n + 50).selectExpr("id AS doc_id", "'a b' AS text"), qr.trusted_ids(labels))
+    assert raw.sum() == 3 * (n + 50) and target.sum() == 3 * n
+
+
+def test_ratios_do_not_move_with_size():
+    rng = np.random.default_rng(5)
+    raw = rng.integers(0, 400, 1 << qr.BITS)
+    target = rng.binomial(raw, 0.4)
+    assert target.sum() > 2_750_000
+    assert np.allclose(qr.log_ratios(raw, target), qr.log_ratios(1000 * raw, 1000 * target))
+    few = target // 100  # the least prior holds below
+    assert np.allclose(qr.log_ratios(raw, few), qr.log_ratios(raw, few, qr.PRIOR))
+
+
 def test_classifier_on_the_held_out_fold(spark):
     got = {r.doc_id: r for r in QUERIES["op4_quality_classifier"](spark, "/root/testdata/sf0.1").collect()}
     labels = [r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()]
