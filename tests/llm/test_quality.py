@@ -126,3 +126,25 @@ def test_classifier_edge_cases(spark):
     assert len(got) == len(rows) and len({r.score for r in got if r.doc_id in (1, 2)}) == 1
     assert {r.score for r in qc.quality_scores(frame(spark, rows), labels.limit(0)).collect()} == {0.5}
     assert qc.quality_scores(frame(spark, rows).limit(0), labels).count() == 0
+
+
+def test_class_signal_of_a_long_text_is_that_of_its_blocks(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    own = {q: [texts[r.doc_id] for r in labels if r.quality == q] for q in (0, 1)}
+    good, bad = (qc.dictionary(own[q][::2]) for q in (1, 0))
+    long = b"\n".join(own[1][1::2])
+    assert len(long) > 20 * qc.BLOCK
+    blocks = [long[i:i + qc.BLOCK] for i in range(0, len(long), qc.BLOCK)]
+    saved = qc.features(blocks, good, bad)[:, 0] @ [len(b) for b in blocks] / len(long)
+    assert saved > 0 and qc.features([long], good, bad)[0, 0] == pytest.approx(saved)
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    rng = np.random.default_rng(3)
+    write = lambda lot: " ".join(f"{lot}{n}" for n in rng.integers(0, 500, 16_000))
+    rows = [(i, write("good" if i % 2 else "bad")) for i in range(40)]
+    assert min(len(t) for _, t in rows) > qc.LONGEST
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in qc.quality_scores(frame(spark, rows), labels).collect()}
+    assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if not i % 2)
