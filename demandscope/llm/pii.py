@@ -2,7 +2,7 @@
 
 An address, number or card found by a pattern is a protected entity. A term next to it reveals it as far as meeting the
 term makes the entity likely: with IC(e) = -log p(e) the information of the entity and PMI(e, t) = log p(e | t) / p(e)
-what the term tells of it, both from document counts over the whole corpus, the disclosure is PMI / IC; 1 means that
+what the term tells of it, both from counts of whole documents (or of ``near`` characters around entities), the disclosure is PMI / IC; 1 means that
 the term never occurs without the entity. Terms at or over the threshold are generalised; those that disclose all
 are removed.
 """
@@ -32,6 +32,7 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 KINDS = list(PATTERNS)
 
 NEAR = 64  # characters on either side of an entity in which terms are looked at
+FILL = "\U0010fffd"  # a private character in the place of those of entities
 SUPPORT = 3  # documents in which term and entity must lie together for an estimate
 THRESHOLD = 0.8
 _SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -140,13 +141,73 @@ def disclosures(docs: DataFrame, contexts: DataFrame, support: int = SUPPORT, th
         "kind", "entity", "term", "disclosure")
 
 
-def pii_rows(docs: DataFrame, near: int = NEAR, support: int = SUPPORT, threshold: float = THRESHOLD,
+def _masked(text: Column, inside: Column) -> Column:
+    """The text with every character of an entity as FILL, so that places stay."""
+    def step(state: Column, s: Column) -> Column:
+        low, high = F.greatest(state["at"], s["start"]), F.greatest(state["at"], s["end"])
+        done = F.concat(state["text"], F.substring(text, state["at"] + 1, low - state["at"]), F.repeat(F.lit(FILL), high - low))
+        return F.struct(high.alias("at"), done.alias("text"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    return F.when(F.size(inside) > 0, F.aggregate(
+        F.array_sort(inside), start, step,
+        lambda state: F.concat(state["text"], F.substring(text, state["at"] + 1, F.length(text))))).otherwise(text)
+
+
+def _free_words(masked: Column) -> Column:
+    """The distinct words of a masked text that share no character with an entity, as written."""
+    words = F.array_distinct(F.regexp_extract_all(masked, F.lit(rf"[\p{{L}}\p{{N}}{FILL}]+"), F.lit(0)))
+    return F.filter(words, lambda w: ~w.contains(FILL))
+
+
+def whole_text_terms(slim: DataFrame, support: int, threshold: float) -> DataFrame:
+    """row_id and terms of every text that holds a disclosing term, with or without an entity of its own.
+
+    Entities and terms meet wherever both lie in one document. ``slim`` has row_id, text and the spans of each kind.
+    """
+    inside = F.concat(*(F.col(kind) for kind in KINDS))
+    masked = slim.select("row_id", _masked(F.col("text"), inside).alias("masked"))
+    written = _once(masked, words=_free_words(F.col("masked"))).select("row_id", "words")
+    lowered = lambda df: df.select("*", F.array_distinct(F.transform("words", F.lower)).alias("terms"))
+    owned = slim.select("row_id", F.explode(F.array_distinct(F.concat(*(F.transform(kind, lambda s, k=kind: F.struct(
+        F.lit(k).alias("kind"), s["value"].alias("entity"))) for kind in KINDS)))).alias("e")).select("row_id", "e.*")
+    entities = stage(owned.groupBy("kind", "entity").agg(F.count("*").alias("n_entity")).where(
+        F.col("n_entity") >= support), "pii-entities")  # what is in fewer documents is with no term in ``support``
+    tagged = stage(owned.join(entities, ["kind", "entity"]).select("row_id", "kind", "entity"), "pii-entity-rows")
+    together = lowered(written.join(tagged, "row_id")).select("kind", "entity", F.explode("terms").alias("term")).groupBy(
+        "kind", "entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    words = lowered(written).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    total = slim.count()
+    told = F.log(F.col("both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
+    full = F.log(F.lit(float(total)) / F.col("n_entity"))
+    together = stage(together.join(entities, ["kind", "entity"]), "pii-together")
+    telling = stage(together.join(words, "term").withColumn(
+        "disclosure", F.when(F.col("n_entity") < total, told / full)).where(F.col("disclosure") >= threshold).groupBy(
+        "term").agg(F.max("disclosure").alias("disclosure")), "pii-disclosures")
+    each = written.select("row_id", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+    marked = stage(each.join(telling, "term").groupBy("row_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("word", "disclosure"))).alias("own")), "pii-marked")
+    edge = rf"[\p{{L}}\p{{N}}{FILL}]"
+    pattern = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join(F.map_keys("own"), "|"), F.lit(f")(?!{edge})"))
+    found = _once(masked.join(marked, "row_id"), pattern=pattern)
+    spans = _placed(F.regexp_extract_all("masked", F.col("pattern"), F.lit(0)), F.split("masked", F.col("pattern"), -1))
+    return found.select("row_id", F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.col("own")[s["value"]].alias("disclosure"))).alias("terms"))
+
+
+def pii_rows(docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT, threshold: float = THRESHOLD,
              id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, a column of spans for each kind, and ``terms`` (start, end, disclosure, of the disclosing terms).
 
-    ``keep`` may name "text", for callers that rewrite it.
+    ``keep`` may name "text", for callers that rewrite it. Without ``near`` terms are counted and marked in whole texts.
     """
     rows = id_and_text(docs, id_col, text_col)
+    none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
+    if near is None:
+        slim = stage(find_spans(rows).withColumn("row_id", F.monotonically_increasing_id()), "pii-spans")
+        terms = whole_text_terms(slim, support, threshold)
+        return slim.select("row_id", "doc_id", *keep, *KINDS).join(terms, "row_id", "left").withColumn(
+            "terms", F.coalesce("terms", none)).drop("row_id")
     found = with_contexts(find_spans(rows), near).withColumn("row_id", F.monotonically_increasing_id())
     slim = stage(found.select("row_id", "doc_id", *keep, *KINDS, "contexts"), "pii-spans")
     contexts = slim.select("row_id", F.explode("contexts").alias("c")).select("row_id", "c.*")
@@ -155,19 +216,19 @@ def pii_rows(docs: DataFrame, near: int = NEAR, support: int = SUPPORT, threshol
         F.max("disclosure").alias("disclosure")).groupBy("row_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     return slim.drop("contexts").join(terms, "row_id", "left").withColumn(
-        "terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,disclosure:double>>"))).drop("row_id")
+        "terms", F.coalesce("terms", none)).drop("row_id")
 
 
 def _listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
 
-def pii_spans(docs: DataFrame, near: int = NEAR, support: int = SUPPORT, threshold: float = THRESHOLD,
+def pii_spans(docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT, threshold: float = THRESHOLD,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms.
 
     Spans are kind:start:end in code points, the end exclusive; ``spans`` has the disclosing terms after the base
-    spans. Null and empty texts have none. A text without an entity has no terms. Repeated rows count as often as they
+    spans. Null and empty texts have none. With ``near`` a text without an entity has no terms; with None all texts are marked. Repeated rows count as often as they
     occur. No rows give no rows; other columns are not read.
     """
     rows = pii_rows(docs, near, support, threshold, id_col, text_col)
@@ -179,7 +240,7 @@ def pii_spans(docs: DataFrame, near: int = NEAR, support: int = SUPPORT, thresho
         F.size("terms").cast("long").alias("n_terms"))
 
 
-def sanitised(docs: DataFrame, near: int = NEAR, support: int = SUPPORT, threshold: float = THRESHOLD,
+def sanitised(docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT, threshold: float = THRESHOLD,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text with entities as [EMAIL], ..., disclosing terms as [TERM], and terms that disclose all removed.
 

@@ -41,7 +41,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_spans(read(spark, sf_dir, "documents"))
+    return pii_spans(read(spark, sf_dir, "documents"), near=None)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

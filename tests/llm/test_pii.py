@@ -114,3 +114,15 @@ def test_luhn(spark):
     numbers = ["4111111111111111", "4111111111111112", "0", "79927398713", "79927398710"]
     rows = spark.createDataFrame([(n,) for n in numbers], "n string").select(pii.luhn(F.col("n")).alias("ok")).collect()
     assert [r.ok for r in rows] == [luhn(n) for n in numbers]
+
+
+def test_terms_are_counted_and_marked_in_whole_texts(spark):
+    far = "and so on " * 20
+    rows = [(i, f"Marlow write about case {i} {far} m.low@example.com") for i in range(5)]
+    rows += [(20 + i, f"please write about something else today number {i} and so on about case") for i in range(60)]
+    rows += [(90, "today MARLOW wrote, marlows did not"), (91, None)]
+    by = {r[0]: r[-1] for r in got(pii.pii_spans(frame(spark, rows).repartition(3), near=None))}
+    assert len(by) == len(rows) and by[0].endswith(",term:0:6") and by[90] == "term:6:12" and by[20] == by[91] == ""
+    assert by[0].count("term") == 1
+    texts = {r.doc_id: r.text for r in pii.sanitised(frame(spark, rows), near=None).collect()}
+    assert texts[90] == "today [TERM] wrote, marlows did not" and texts[20] == rows[5][1] and "Marlow" not in texts[0]
