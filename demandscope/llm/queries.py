@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from demandscope.llm.line_dedup import line_dedup
 from demandscope.llm.mixing import BLOCK_CHARS, PERIOD, mix
 from demandscope.llm.ngram_jaccard import near_classes
 from demandscope.llm.packing import pack
+from demandscope.llm.periodic_runs import periodic_runs, run_digests
 from demandscope.llm.pii import pii_spans
 from demandscope.llm.quality_classifier import quality_scores
 from demandscope.llm.quality_rules import quality_rules
@@ -60,10 +62,25 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(read(spark, sf_dir, "documents"))
 
 
+def planted(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """One document in ten gets a periodic end: its last words repeat a stretch of themselves."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(read(spark, sf_dir, "documents"), planted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_line_dedup, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op6_pii, op7_ngram_jaccard, op8_packing,
-        op9_mixing, op10_wavelet_tokens)}
+        op9_mixing, op10_wavelet_tokens, op12_periodic_runs)}
 
 
 def _text(value: str) -> str:
