@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from demandscope.llm.common import read
 from demandscope.llm.exact_dedup import exact_dedup
@@ -17,6 +18,7 @@ from demandscope.llm.ngram_jaccard import near_classes
 from demandscope.llm.packing import pack
 from demandscope.llm.periodic_runs import periodic_runs, run_digests
 from demandscope.llm.pii import pii_spans
+from demandscope.llm.prefix_trie import FAMILY, LONGEST_HEAD, TIE, conversation_trie
 from demandscope.llm.quality_classifier import quality_scores
 from demandscope.llm.quality_rules import quality_rules
 from demandscope.llm.wavelet import token_documents
@@ -77,10 +79,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(read(spark, sf_dir, "documents"), planted))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.crc32(F.col("conv_id").cast("string")) % (LONGEST_HEAD + 1)
+    return conversation_trie(read(spark, sf_dir, "conversations"), head)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_line_dedup, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op6_pii, op7_ngram_jaccard, op8_packing,
-        op9_mixing, op10_wavelet_tokens, op12_periodic_runs)}
+        op9_mixing, op10_wavelet_tokens, op12_periodic_runs, op13_prefix_trie)}
 
 
 def _text(value: str) -> str:
@@ -157,4 +164,42 @@ SQL = {
                "begin" // {BLOCK_CHARS} * period // weight AS release,
                (("begin" // {BLOCK_CHARS} + 1) * period + weight - 1) // weight AS deadline
         FROM stream JOIN plan USING (source)""",
+    "op13_prefix_trie": f"""
+        WITH crc AS (  -- the table of CRC-32, from its polynomial
+            SELECT list(list_reduce(list_prepend(i, repeat([0], 8)), lambda a, b:
+                CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+        own AS (
+            SELECT conv_id, r, t, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, left(t, {TIE}), sha256(length(r) || ':' || r || t)) AS pos
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+                  WHERE conv_id IS NOT NULL)),
+        conv AS (
+            SELECT conv_id AS c, conv_id - conv_id % {FAMILY} AS b, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8))) % {LONGEST_HEAD + 1} AS h
+            FROM (SELECT DISTINCT conv_id FROM own), crc),
+        turn AS (
+            SELECT c, pos AS d, r, t FROM conv JOIN own ON conv_id = b AND pos <= h
+            UNION ALL
+            SELECT c, pos - h + (SELECT count(*) FROM own AS o WHERE o.conv_id = b AND o.pos <= h), r, t
+            FROM conv JOIN own ON conv_id = c AND pos > h),
+        path AS (
+            SELECT c, d, length(t) AS chars, list(struct_pack(r := r, t := t)) OVER (PARTITION BY c ORDER BY d) AS key,
+                   max(d) OVER (PARTITION BY c) AS total FROM turn
+            UNION ALL SELECT c, 0, 0, [], coalesce((SELECT max(d) FROM turn AS x WHERE x.c = conv.c), 0) FROM conv),
+        step AS (
+            SELECT c, d, chars, total, min(c) OVER (PARTITION BY d, key) AS owner, count(*) OVER (PARTITION BY d, key) AS n
+            FROM path),
+        node AS (
+            SELECT owner, d, any_value(n) AS n, any_value(chars) AS chars, count(*) FILTER (total > d) = 0 AS leaf,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (total = d), '')) AS ends
+            FROM step GROUP BY owner, d),
+        up AS (SELECT node.*, p.owner AS parent FROM node LEFT JOIN step AS p ON p.c = node.owner AND p.d = node.d - 1),
+        below AS (
+            SELECT a.owner, a.d, count(*) FILTER (node.leaf) AS n_leaves, sum((node.n - 1) * node.chars) AS saved
+            FROM node JOIN step AS a ON a.c = node.owner AND a.d <= node.d GROUP BY a.owner, a.d)
+        SELECT up.owner AS conv_id, up.d::BIGINT AS depth, up.parent AS parent_conv_id, up.n AS n_convs,
+               (SELECT count(*) FROM up AS k WHERE k.parent = up.owner AND k.d = up.d + 1) AS n_children,
+               n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
+        FROM up JOIN below ON below.owner = up.owner AND below.d = up.d""",
 }
