@@ -47,3 +47,9 @@ def with_offsets(runs: DataFrame, order: list[str], total: str, label: str) -> D
     totals = runs.groupBy(*order).agg(F.sum(total).alias("total"))
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return stage(totals.select(*order, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), label)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once for each row: nothing is pushed or copied through the explode."""
+    fresh = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_once")
+    return df.select("*", fresh).select(*df.columns, "_once.*")

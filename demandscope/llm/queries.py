@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandscope.llm.byte_ppm import byte_ppm
 from demandscope.llm.common import read
 from demandscope.llm.exact_dedup import exact_dedup
 from demandscope.llm.license_scan import TEMPLATES, license_scan
@@ -64,6 +65,10 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_byte_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_ppm(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+
+
 def planted(doc_id: object, words: list[bytes]) -> list[bytes]:
     """One document in ten gets a periodic end: its last words repeat a stretch of themselves."""
     h, n = zlib.crc32(str(doc_id).encode()), len(words)
@@ -87,7 +92,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_line_dedup, op3_exact_dedup, op4_quality_classifier, op5_quality_rules, op6_pii, op7_ngram_jaccard, op8_packing,
-        op9_mixing, op10_wavelet_tokens, op12_periodic_runs, op13_prefix_trie)}
+        op9_mixing, op10_wavelet_tokens, op11_byte_ppm, op12_periodic_runs, op13_prefix_trie)}
 
 
 def _text(value: str) -> str:
