@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from demandscope.session import stage
+from demandscope.session import stage, staging_root
 
 _SHIPPED: set[str] = set()
 
@@ -49,6 +50,14 @@ def with_offsets(runs: DataFrame, order: list[str], total: str, label: str) -> D
     return stage(totals.select(*order, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), label)
 
 
+def stage_packed(df: DataFrame, label: str) -> DataFrame:
+    """Like ``stage``, for whole texts: compressed harder."""
+    spark = df.sparkSession
+    path = f"{staging_root(spark)}/demandscope/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are worked out once for each row: nothing is pushed or copied through the explode."""
     fresh = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_once")

@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandscope.llm.common import id_and_text
+from demandscope.functions.text import let
+from demandscope.llm.common import id_and_text, once, stage_packed
 from demandscope.session import stage
 
 # Fixed values. The possessive and look-behind forms find the same spans as
@@ -32,9 +33,10 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 KINDS = list(PATTERNS)
 
 NEAR = 64  # characters on either side of an entity in which terms are looked at
-FILL = "\U0010fffd"  # a private character in the place of those of entities
 SUPPORT = 3  # documents in which term and entity must lie together for an estimate
 THRESHOLD = 0.8
+WALK_BLOCK = 128
+MOST_BITS = 1 << 27  # of a Bloom filter; with more terms it lets more words pass, which the join then drops
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 _WORD = r"[\p{L}\p{N}]+"
 _NO_WORD = r"[^\p{L}\p{N}]+"
@@ -66,40 +68,61 @@ def _validity(kind: str) -> Callable[[Column], Column]:
     return valid
 
 
-def _placed(matches: Column, gaps: Column) -> Column:
-    """(start, end, value) of matches, from their lengths and those of the texts between them."""
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(matches, i))
-        span = F.struct(start.alias("start"), end.alias("end"), F.get(matches, i).alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).cast(_SPANS).alias("spans"))
+def walk(items: Column, start: Column, state_type: str, out_type: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """``step(state, item)`` gives the next state and one value; the values of all items, in order.
+
+    Values are gathered in blocks and the blocks in one array, so that no long array is copied for each item.
+    """
+    none, blocks_of = F.array().cast(f"array<{out_type}>"), F.array().cast(f"array<array<{out_type}>>")
+
+    def one(acc: Column, item: Column) -> Column:
+        return let(F.struct(*(c.alias(n) for c, n in zip(step(acc["state"], item), ("state", "out"), strict=True))), lambda r: F.struct(
+            r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def block(acc: Column, i: Column) -> Column:
+        own = F.slice(items, i * WALK_BLOCK + 1, WALK_BLOCK)
+        inner = F.aggregate(own, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    first = F.struct(start.cast(state_type).alias("state"), blocks_of.alias("out"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(
+        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / WALK_BLOCK).cast("int")), first, block)["out"])).otherwise(none)
+
+
+def _lengths(matches: Column, gaps: Column) -> Column:
+    """(gap, length, value) of each match; ``gaps`` has one more."""
+    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("value"))
+    return F.transform(F.slice(pairs, F.lit(1), F.size(matches)), lambda x: F.struct(
+        F.length(x["gap"]).alias("gap"), F.length(x["value"]).alias("n"), x["value"].alias("value")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    return F.when(F.size(matches) > 0, F.aggregate(
-        F.sequence(F.lit(0), F.size(matches) - 1), start, step)["spans"]).otherwise(F.array().cast(_SPANS))
 
+def _placed(lengths: Column) -> Column:
+    """(start, end, value) of matches, from their lengths and those of the texts between them."""
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
+        end = start + x["n"]
+        return end, F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are worked out once for each row: nothing is pushed or copied through the explode."""
-    fresh = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_once")
-    return df.select("*", fresh).select(*df.columns, "_once.*")
+    return walk(lengths, F.lit(0), "int", "struct<start:int,end:int,value:string>", step)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """``docs`` (with a column text) and one column of spans for each kind of entity."""
-    found = _once(docs, **{f"m_{kind}": (
+    found = once(docs, **{f"m_{kind}": (
         F.when(F.col("text").contains(MARKS[kind]), F.regexp_extract_all("text", F.lit(p), F.lit(0))) if kind in MARKS
         else F.regexp_extract_all("text", F.lit(p), F.lit(0))) for kind, p in PATTERNS.items()})
-    placed = {kind: _placed(F.col(f"m_{kind}"), F.split("text", p, -1)) for kind, p in PATTERNS.items()}
-    spans = {kind: F.when(F.size(f"m_{kind}") > 0, F.filter(own, _validity(kind))).otherwise(F.array().cast(_SPANS))
-             for kind, own in placed.items()}
-    return _once(found, **spans).drop(*(f"m_{kind}" for kind in KINDS))
+    lengths = once(found, **{f"l_{kind}": F.when(
+        F.size(f"m_{kind}") > 0, _lengths(F.col(f"m_{kind}"), F.split("text", p, -1))) for kind, p in PATTERNS.items()})
+    none = F.array().cast(_SPANS)
+    placed = once(lengths, **{f"p_{kind}": F.when(F.size(f"l_{kind}") > 0, _placed(F.col(f"l_{kind}"))).otherwise(none) for kind in KINDS})
+    return once(placed, **{kind: F.filter(f"p_{kind}", _validity(kind)) for kind in KINDS}).drop(
+        *(f"{x}_{kind}" for kind in KINDS for x in "mlp"))
 
 
 def _terms(text: Column, low: Column, high: Column) -> Column:
     """(start, end, value) of the words that lie wholly in text[low:high]."""
     piece = F.substring(text, low + 1, high - low)
-    words = _placed(F.regexp_extract_all(piece, F.lit(_WORD), F.lit(0)), F.split(piece, _WORD, -1))
+    words = _placed(_lengths(F.regexp_extract_all(piece, F.lit(_WORD), F.lit(0)), F.split(piece, _WORD, -1)))
     letter = lambda at: F.substring(text, at, F.lit(1)).rlike(_WORD)
     cut_low, cut_high = (low > 0) & letter(low), (high < F.length(text)) & letter(high + 1)
     whole = F.filter(words, lambda w: ~(cut_low & (w["start"] == 0)) & ~(cut_high & (w["end"] == high - low)))
@@ -122,7 +145,7 @@ def with_contexts(found: DataFrame, near: int = NEAR) -> DataFrame:
     inside = F.concat(*(F.col(kind) for kind in KINDS))
     every = F.concat(*(F.flatten(F.transform(kind, around(kind))) for kind in KINDS))
     free = F.filter(every, lambda t: ~F.exists(inside, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return _once(found, contexts=F.when(F.size(inside) > 0, free).otherwise(F.array().cast(
+    return once(found, contexts=F.when(F.size(inside) > 0, free).otherwise(F.array().cast(
         "array<struct<kind:string,entity:string,term:string,start:int,end:int>>")))
 
 
@@ -141,58 +164,95 @@ def disclosures(docs: DataFrame, contexts: DataFrame, support: int = SUPPORT, th
         "kind", "entity", "term", "disclosure")
 
 
-def _masked(text: Column, inside: Column) -> Column:
-    """The text with every character of an entity as FILL, so that places stay."""
-    def step(state: Column, s: Column) -> Column:
-        low, high = F.greatest(state["at"], s["start"]), F.greatest(state["at"], s["end"])
-        done = F.concat(state["text"], F.substring(text, state["at"] + 1, low - state["at"]), F.repeat(F.lit(FILL), high - low))
-        return F.struct(high.alias("at"), done.alias("text"))
+def _free(words: Column, spans: Column) -> Column:
+    """Those of the placed ``words`` that share no character with one of ``spans``; both ordered by start, in one pass each way."""
+    event = lambda is_word: lambda x: F.struct(
+        x["start"].alias("start"), F.lit(is_word).alias("word"), x["end"].alias("end"), x["value"].alias("value"))
+    events = F.array_sort(F.concat(F.transform(spans, event(False)), F.transform(words, event(True))))
+    kind = "struct<start:int,word:boolean,end:int,value:string>"
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    return F.when(F.size(inside) > 0, F.aggregate(
-        F.array_sort(inside), start, step,
-        lambda state: F.concat(state["text"], F.substring(text, state["at"] + 1, F.length(text))))).otherwise(text)
+    def left(reach: Column, x: Column) -> tuple[Column, Column]:  # words after the start of an entity that reaches them
+        return F.when(x["word"], reach).otherwise(F.greatest(reach, x["end"])), F.when(~x["word"] | (x["start"] >= reach), x)
 
+    def right(begin: Column, x: Column) -> tuple[Column, Column]:  # words that reach the next entity
+        return F.when(x["word"], begin).otherwise(x["start"]), F.when(x["word"] & (x["end"] <= begin), x)
 
-def _free_words(masked: Column) -> Column:
-    """The distinct words of a masked text that share no character with an entity, as written."""
-    words = F.array_distinct(F.regexp_extract_all(masked, F.lit(rf"[\p{{L}}\p{{N}}{FILL}]+"), F.lit(0)))
-    return F.filter(words, lambda w: ~w.contains(FILL))
+    here = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+    return let(here(walk(events, F.lit(0), "int", kind, left)), lambda a: F.reverse(here(
+        walk(F.reverse(a), F.lit(2 ** 31 - 1), "int", kind, right))))
 
 
-def whole_text_terms(slim: DataFrame, support: int, threshold: float) -> DataFrame:
-    """row_id and terms of every text that holds a disclosing term, with or without an entity of its own.
+def with_words(texts: DataFrame) -> DataFrame:
+    """Add ``placed``, the free words of texts with entities and where they are, and ``words``, the different ones of any text.
 
-    Entities and terms meet wherever both lie in one document. ``slim`` has row_id, text and the spans of each kind.
+    Both are as written. Only texts with an entity have to know the places.
     """
-    inside = F.concat(*(F.col(kind) for kind in KINDS))
-    masked = slim.select("row_id", _masked(F.col("text"), inside).alias("masked"))
-    written = _once(masked, words=_free_words(F.col("masked"))).select("row_id", "words")
-    lowered = lambda df: df.select("*", F.array_distinct(F.transform("words", F.lower)).alias("terms"))
-    owned = slim.select("row_id", F.explode(F.array_distinct(F.concat(*(F.transform(kind, lambda s, k=kind: F.struct(
-        F.lit(k).alias("kind"), s["value"].alias("entity"))) for kind in KINDS)))).alias("e")).select("row_id", "e.*")
-    entities = stage(owned.groupBy("kind", "entity").agg(F.count("*").alias("n_entity")).where(
-        F.col("n_entity") >= support), "pii-entities")  # what is in fewer documents is with no term in ``support``
-    tagged = stage(owned.join(entities, ["kind", "entity"]).select("row_id", "kind", "entity"), "pii-entity-rows")
-    together = lowered(written.join(tagged, "row_id")).select("kind", "entity", F.explode("terms").alias("term")).groupBy(
-        "kind", "entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    words = lowered(written).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = slim.count()
+    spans = F.concat(*(F.col(kind) for kind in KINDS))
+    found = once(once(texts, inside=spans), found=F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))
+    lengths = once(found, lengths=F.when(F.size("inside") > 0, _lengths(F.col("found"), F.split("text", _WORD, -1))))
+    all_placed = once(lengths, every=F.when(F.col("lengths").isNotNull(), _placed(F.col("lengths"))))
+    free = once(all_placed, placed=F.when(F.col("every").isNotNull(), _free(F.col("every"), F.col("inside"))))
+    words = F.when(F.col("placed").isNotNull(), F.transform("placed", lambda w: w["value"])).otherwise(F.col("found"))
+    return once(free, words=F.array_distinct(words)).drop("inside", "lengths", "every")
+
+
+def _filter_of(hashes: DataFrame, size: int) -> Callable[[Column], Column]:
+    """Whether a hash may be among ``hash`` of the rows: a Bloom filter of bounded size, as an array of longs.
+
+    The test is for use in a filter, not inside a lambda.
+    """
+    bits = min(MOST_BITS, 1 << max(10, (16 * size - 1).bit_length()))
+    places = lambda h: [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits))]
+    set_ = hashes.select(F.explode(F.array(*places(F.col("hash")))).alias("bit")).select(
+        F.floor(F.col("bit") / 64).alias("id"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int")).alias("word"))
+    dense = hashes.sparkSession.range(bits // 64).select("id", F.lit(0).cast("long").alias("word"))
+    words = stage(set_.unionByName(dense).groupBy("id").agg(F.bit_or("word").alias("word")), "pii-filter")
+    array = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x["word"]).alias("words")).scalar()
+    test = lambda b: F.getbit(F.get(array, F.floor(b / 64).cast("int")), (b % 64).cast("int")) == 1
+    return lambda h: test(places(h)[0]) & test(places(h)[1])
+
+
+def whole_text_terms(texts: DataFrame, support: int, threshold: float) -> DataFrame:
+    """text_id and terms of every text that holds a disclosing term, with or without an entity of its own.
+
+    Counts are of different texts. ``texts`` has text_id, text and the spans of each kind; texts stay where they are. What
+    is joined are single words, and only those that a Bloom filter of the terms in question lets pass.
+    """
+    named = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("entity"))
+    entity = F.array_distinct(F.concat(*(F.transform(kind, named(kind)) for kind in KINDS)))
+    bearing = texts.where(" OR ".join(f"size({kind}) > 0" for kind in KINDS))
+    entities = stage(bearing.select(F.explode(entity).alias("e")).groupBy("e.kind", "e.entity").agg(F.count("*").alias("n_entity")).where(
+        F.col("n_entity") >= support), "pii-entities")  # others are with no term in ``support`` texts
+    frequent = _filter_of(entities.select(F.xxhash64("kind", "entity").alias("hash")), entities.count())
+    shared = bearing.withColumn("e", F.explode(entity)).where(
+        frequent(F.xxhash64("e.kind", "e.entity")))
+    each = once(with_words(shared), terms=F.array_distinct(F.transform("words", F.lower))).select("e.*", F.explode("terms").alias("term"))
+    together = stage(each.groupBy("kind", "entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support).join(
+        entities, ["kind", "entity"]), "pii-together")
+    total = texts.count()
+    # a disclosure of t or more means n_term <= both * (N / n_entity) ** (1 - t)
+    asked = stage(together.groupBy("term").agg(F.max(F.col("both") * F.pow(
+        F.lit(float(total)) / F.col("n_entity"), F.lit(1 - threshold)) * (1 + 1e-9)).alias("most")), "pii-asked")
+    within = _filter_of(asked.select(F.xxhash64("term").alias("hash")), asked.count())
+    words = once(with_words(texts), terms=F.array_distinct(F.transform("words", F.lower))).select("text_id", F.explode("terms").alias("term"))
+    holders = stage(words.where(within(F.xxhash64("term"))).join(asked, "term"), "pii-holders")
+    n_term = holders.groupBy("term").agg(F.count("*").alias("n_term"), F.first("most").alias("most")).where(F.col("n_term") <= F.col("most"))
     told = F.log(F.col("both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     full = F.log(F.lit(float(total)) / F.col("n_entity"))
-    together = stage(together.join(entities, ["kind", "entity"]), "pii-together")
-    telling = stage(together.join(words, "term").withColumn(
+    telling = stage(together.join(n_term.select("term", "n_term"), "term").withColumn(
         "disclosure", F.when(F.col("n_entity") < total, told / full)).where(F.col("disclosure") >= threshold).groupBy(
         "term").agg(F.max("disclosure").alias("disclosure")), "pii-disclosures")
-    each = written.select("row_id", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
-    marked = stage(each.join(telling, "term").groupBy("row_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("word", "disclosure"))).alias("own")), "pii-marked")
-    edge = rf"[\p{{L}}\p{{N}}{FILL}]"
-    pattern = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join(F.map_keys("own"), "|"), F.lit(f")(?!{edge})"))
-    found = _once(masked.join(marked, "row_id"), pattern=pattern)
-    spans = _placed(F.regexp_extract_all("masked", F.col("pattern"), F.lit(0)), F.split("masked", F.col("pattern"), -1))
-    return found.select("row_id", F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.col("own")[s["value"]].alias("disclosure"))).alias("terms"))
+    marked = stage(holders.join(telling, "term", "left_semi").select("text_id").distinct(), "pii-marked")
+    holding = _filter_of(marked.select(F.xxhash64("text_id").alias("hash")), marked.count())
+    found = with_words(texts.where(holding(F.xxhash64("text_id"))))
+    lengths = once(found, lengths=F.when(F.col("placed").isNull(), _lengths(F.col("found"), F.split("text", _WORD, -1))))
+    places = once(lengths, at=F.when(F.col("placed").isNull(), _placed(F.col("lengths"))).otherwise(F.transform(
+        "placed", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value")))))
+    telling_hash = _filter_of(telling.select(F.xxhash64("term").alias("hash")), telling.count())
+    spots = places.select("text_id", F.explode("at").alias("w")).select("text_id", "w.start", "w.end", F.lower("w.value").alias("term"))
+    return spots.where(telling_hash(F.xxhash64("term"))).join(telling, "term").groupBy("text_id").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
 
 
 def pii_rows(docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT, threshold: float = THRESHOLD,
@@ -204,10 +264,12 @@ def pii_rows(docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT, t
     rows = id_and_text(docs, id_col, text_col)
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
     if near is None:
-        slim = stage(find_spans(rows).withColumn("row_id", F.monotonically_increasing_id()), "pii-spans")
-        terms = whole_text_terms(slim, support, threshold)
-        return slim.select("row_id", "doc_id", *keep, *KINDS).join(terms, "row_id", "left").withColumn(
-            "terms", F.coalesce("terms", none)).drop("row_id")
+        known = rows.withColumn("text_id", F.unhex(F.sha2("text", 256)))
+        texts = stage_packed(find_spans(known.select("text_id", "text").dropDuplicates(["text_id"])), "pii-texts")
+        terms = whole_text_terms(texts, support, threshold)
+        spans = stage(texts.select("text_id", *KINDS).join(terms, "text_id", "left").withColumn(
+            "terms", F.coalesce("terms", none)), "pii-spans")
+        return known.select("text_id", "doc_id", *keep).join(spans, "text_id").drop("text_id")
     found = with_contexts(find_spans(rows), near).withColumn("row_id", F.monotonically_increasing_id())
     slim = stage(found.select("row_id", "doc_id", *keep, *KINDS, "contexts"), "pii-spans")
     contexts = slim.select("row_id", F.explode("contexts").alias("c")).select("row_id", "c.*")
@@ -258,15 +320,16 @@ def sanitised(docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT,
     told = F.lit(1 - 1e-12)
     marked = [marks(kind, label(kind)) for kind in KINDS]
     marked.append(marks("terms", lambda s: F.when(s["disclosure"] >= told, F.lit("")).otherwise(F.lit("[TERM]"))))
-    text = F.col("text")
-
-    def step(state: Column, s: Column) -> Column:
-        done = F.concat(state["text"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), s["text"])
-        apart = s["start"] >= state["at"]
-        return F.struct(F.when(apart, -s["end"]).otherwise(state["at"]).alias("at"),
-                        F.when(apart, done).otherwise(state["text"]).alias("text"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    return rows.select("doc_id", F.aggregate(
-        F.array_sort(F.concat(*marked)), start, step,
-        lambda state: F.concat(state["text"], F.substring(text, state["at"] + 1, F.length(text)))).alias("text"))
+    def keep(at: Column, s: Column) -> tuple[Column, Column]:
+        apart = s["start"] >= at
+        return F.when(apart, -s["end"]).otherwise(at), F.when(apart, F.struct(
+            at.alias("from"), s["start"].alias("to"), (-s["end"]).alias("next"), s["text"].alias("text")))
+
+    replaced = once(rows.select("doc_id", "text", F.array_sort(F.concat(*marked)).alias("marks")), parts=F.filter(walk(
+        F.col("marks"), F.lit(0), "int", "struct<from:int,to:int,next:int,text:string>", keep), lambda x: x.isNotNull()))
+    letters = once(replaced, letters=F.when(F.size("parts") > 0, F.split("text", "")))
+    piece = lambda low, n: F.array_join(F.slice("letters", low + 1, n), "")
+    last = F.element_at("parts", -1)["next"]
+    return letters.select("doc_id", F.when(F.size("parts") > 0, F.concat(
+        F.array_join(F.transform("parts", lambda x: F.concat(piece(x["from"], x["to"] - x["from"]), x["text"])), ""),
+        piece(last, F.greatest(F.size("letters") - last, F.lit(0))))).otherwise(F.col("text")).alias("text"))

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -126,3 +128,64 @@ def test_terms_are_counted_and_marked_in_whole_texts(spark):
     assert by[0].count("term") == 1
     texts = {r.doc_id: r.text for r in pii.sanitised(frame(spark, rows), near=None).collect()}
     assert texts[90] == "today [TERM] wrote, marlows did not" and texts[20] == rows[5][1] and "Marlow" not in texts[0]
+
+
+def brute_whole(rows, support=pii.SUPPORT, threshold=pii.THRESHOLD):
+    """Entities and terms of whole texts, counted over different texts; terms marked in every text."""
+    def words(text):
+        spans = [s for own in base(text).values() for s in own]
+        return [(w.start(), w.end(), w[0].lower()) for w in WORD.finditer(text) if not any(w.start() < b and a < w.end() for a, b in spans)]
+
+    texts = {text or "" for _, text in rows}
+    together, single, n_term = Counter(), Counter(), Counter()
+    for text in texts:
+        own = {w for *_, w in words(text)}
+        entities = {(kind, text[a:b]) for kind, places in base(text).items() for a, b in places}
+        n_term.update(own)
+        single.update(entities)
+        together.update((e, w) for e in entities for w in own)
+    n = len(texts)
+    telling = {w for (e, w), both in together.items() if both >= support and single[e] < n
+               and math.log(both * n / (n_term[w] * single[e])) / math.log(n / single[e]) >= threshold}
+    out = []
+    for i, text in rows:
+        spans = base(text or "")
+        listed = [f"{kind}:{a}:{b}" for kind in BASE for a, b in spans[kind]]
+        out.append((i, *(len(spans[k]) for k in BASE), hashlib.sha256(",".join(listed).encode()).hexdigest(),
+                    ",".join(listed + [f"term:{a}:{b}" for a, b, w in words(text or "") if w in telling])))
+    return sorted(out, key=repr), telling
+
+
+def test_whole_text_method_equals_brute_force(spark):
+    rng = random.Random(3)
+    names = ["Marlow", "Annabel", "Ödön", "x1", "日本"]
+    rows = []
+    for i in range(240):
+        k = rng.randrange(12)
+        body = rng.choices(["case", "today", "we", "write", "İt", "and", f"n{i % 40}", "a@b.c", "1.2.3.4", "low"], k=rng.randint(3, 25))
+        if k < 5 and rng.random() < 0.9:
+            body.insert(rng.randrange(len(body)), f"{names[k]}@mail.example.com")
+            body.insert(rng.randrange(len(body)), names[k].upper() if i % 2 else names[k])
+        rows.append((i, " ".join(body)))
+    rows += [(900 + i, "Copy of one text about Quentin q.tin@mail.example.com") for i in range(30)]  # one text, so no support
+    rows += [(1000, None), (1001, ""), (None, "MARLOW"), (1002, "marlow@mail.example.com+1 234 567 8901,marlow"), *rows[:20]]
+    expected, telling = brute_whole(rows)
+    assert {"marlow", "annabel"} <= telling and "quentin" not in telling
+    assert got(pii.pii_spans(frame(spark, rows).repartition(3), near=None)) == expected
+
+
+def test_text_with_many_entities(spark):
+    """The work on one text grows with its length, not with its square."""
+    text = " ".join(f"u{i}@m.example.com and word{i}" for i in range(8000))
+    rows = [(1, text), (2, "+1 234 567 8901 " * 4000)]
+    start = time.time()
+    result = {r.doc_id: r for r in pii.pii_spans(frame(spark, rows), near=None).collect()}
+    assert (result[1].n_email, result[2].n_phone) == (8000, 4000) and time.time() - start < 60
+    assert result[1].spans == ",".join(f"email:{a}:{b}" for a, b in base(text)["email"])
+    assert pii.sanitised(frame(spark, rows[:1]), near=None).first().text == " ".join(f"[EMAIL] and word{i}" for i in range(8000))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_brute_force_of_whole_texts(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()]
+    assert got(QUERIES["op6_pii"](spark, f"/root/testdata/{sf}")) == brute_whole(rows)[0]
