@@ -40,6 +40,8 @@ MOST_BITS = 1 << 27  # of a Bloom filter; with more terms it lets more words pas
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 _WORD = r"[\p{L}\p{N}]+"
 _NO_WORD = r"[^\p{L}\p{N}]+"
+FILL = "\U0010fffd"  # a private character in the place of those of entities
+_MASKED_WORD = rf"[\p{{L}}\p{{N}}{FILL}]+"
 
 
 def _digits(value: Column) -> Column:
@@ -164,36 +166,55 @@ def disclosures(docs: DataFrame, contexts: DataFrame, support: int = SUPPORT, th
         "kind", "entity", "term", "disclosure")
 
 
-def _free(words: Column, spans: Column) -> Column:
-    """Those of the placed ``words`` that share no character with one of ``spans``; both ordered by start, in one pass each way."""
-    event = lambda is_word: lambda x: F.struct(
-        x["start"].alias("start"), F.lit(is_word).alias("word"), x["end"].alias("end"), x["value"].alias("value"))
-    events = F.array_sort(F.concat(F.transform(spans, event(False)), F.transform(words, event(True))))
-    kind = "struct<start:int,word:boolean,end:int,value:string>"
+def covered(spans: Column) -> Column:
+    """The stretches (low, high) that ``spans``, ordered by start, cover together."""
+    kind = "struct<low:int,high:int>"
 
-    def left(reach: Column, x: Column) -> tuple[Column, Column]:  # words after the start of an entity that reaches them
-        return F.when(x["word"], reach).otherwise(F.greatest(reach, x["end"])), F.when(~x["word"] | (x["start"] >= reach), x)
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        return F.greatest(reach, x["end"]), F.when(x["end"] > reach, F.struct(
+            F.greatest(reach, x["start"]).alias("low"), x["end"].alias("high")))
 
-    def right(begin: Column, x: Column) -> tuple[Column, Column]:  # words that reach the next entity
-        return F.when(x["word"], begin).otherwise(x["start"]), F.when(x["word"] & (x["end"] <= begin), x)
+    return F.filter(walk(spans, F.lit(0), "int", kind, step), lambda x: x.isNotNull())
 
-    here = lambda xs: F.filter(xs, lambda x: x.isNotNull())
-    return let(here(walk(events, F.lit(0), "int", kind, left)), lambda a: F.reverse(here(
-        walk(F.reverse(a), F.lit(2 ** 31 - 1), "int", kind, right))))
+
+def masked(texts: DataFrame) -> DataFrame:
+    """``texts`` with the text as ``masked``: each character of an entity is FILL, so that places stay.
+
+    The text is cut into blocks of stretches first, so that no stretch is looked for from the start of a long text.
+    """
+    ordered = F.array_sort(F.transform(F.concat(*(F.col(kind) for kind in KINDS)), lambda x: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"))))
+    found = once(once(texts, spans=ordered), parts=F.when(F.size("spans") > 0, covered(F.col("spans"))))
+    text, parts = F.col("text"), F.col("parts")
+
+    def block(i: Column) -> Column:
+        own = F.slice(parts, i * WALK_BLOCK + 1, WALK_BLOCK)
+        begin = F.when(i > 0, F.get(parts, i * WALK_BLOCK - 1)["high"]).otherwise(0)
+
+        def cut(bound: Column) -> Column:
+            low, here = bound["low"], bound["text"]
+            return F.array_join(F.transform(bound["own"], lambda x, k: let(
+                F.when(k > 0, F.get(bound["own"], k - 1)["high"]).otherwise(low), lambda at: F.concat(
+                    F.substring(here, at - low + 1, x["low"] - at), F.repeat(F.lit(FILL), x["high"] - x["low"])))), "")
+
+        high = F.element_at(own, -1)["high"]
+        return let(F.struct(own.alias("own"), begin.alias("low"), F.substring(text, begin + 1, high - begin).alias("text")), cut)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / WALK_BLOCK).cast("int")), block)
+    tail = F.substring(text, F.element_at(parts, -1)["high"] + 1, F.length(text))
+    return found.withColumn("masked", F.when(parts.isNotNull(), F.concat(F.array_join(blocks, ""), tail)).otherwise(text)).drop(
+        "spans", "parts", "text")
 
 
 def with_words(texts: DataFrame) -> DataFrame:
-    """Add ``placed``, the free words of texts with entities and where they are, and ``words``, the different ones of any text.
+    """Add ``words``, the different words of a masked text that share no character with an entity, as written."""
+    words = F.filter(F.array_distinct(F.regexp_extract_all("masked", F.lit(_MASKED_WORD), F.lit(0))), lambda w: ~w.contains(FILL))
+    return once(texts, words=words)
 
-    Both are as written. Only texts with an entity have to know the places.
-    """
-    spans = F.concat(*(F.col(kind) for kind in KINDS))
-    found = once(once(texts, inside=spans), found=F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))
-    lengths = once(found, lengths=F.when(F.size("inside") > 0, _lengths(F.col("found"), F.split("text", _WORD, -1))))
-    all_placed = once(lengths, every=F.when(F.col("lengths").isNotNull(), _placed(F.col("lengths"))))
-    free = once(all_placed, placed=F.when(F.col("every").isNotNull(), _free(F.col("every"), F.col("inside"))))
-    words = F.when(F.col("placed").isNotNull(), F.transform("placed", lambda w: w["value"])).otherwise(F.col("found"))
-    return once(free, words=F.array_distinct(words)).drop("inside", "lengths", "every")
+
+def with_terms(texts: DataFrame) -> DataFrame:
+    """Add ``terms``, the same in lower case."""
+    return once(with_words(texts), terms=F.array_distinct(F.transform("words", F.lower)))
 
 
 def _filter_of(hashes: DataFrame, size: int) -> Callable[[Column], Column]:
@@ -216,8 +237,8 @@ def _filter_of(hashes: DataFrame, size: int) -> Callable[[Column], Column]:
 def whole_text_terms(texts: DataFrame, support: int, threshold: float) -> DataFrame:
     """text_id and terms of every text that holds a disclosing term, with or without an entity of its own.
 
-    Counts are of different texts. ``texts`` has text_id, text and the spans of each kind; texts stay where they are. What
-    is joined are single words, and only those that a Bloom filter of the terms in question lets pass.
+    Counts are of different texts. ``texts`` has text_id, masked and the spans of each kind; texts stay where they are. Words
+    are counted where they lie, and only words that a Bloom filter of the disclosing terms lets pass are joined.
     """
     named = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("entity"))
     entity = F.array_distinct(F.concat(*(F.transform(kind, named(kind)) for kind in KINDS)))
@@ -225,31 +246,28 @@ def whole_text_terms(texts: DataFrame, support: int, threshold: float) -> DataFr
     entities = stage(bearing.select(F.explode(entity).alias("e")).groupBy("e.kind", "e.entity").agg(F.count("*").alias("n_entity")).where(
         F.col("n_entity") >= support), "pii-entities")  # others are with no term in ``support`` texts
     frequent = _filter_of(entities.select(F.xxhash64("kind", "entity").alias("hash")), entities.count())
-    shared = bearing.withColumn("e", F.explode(entity)).where(
-        frequent(F.xxhash64("e.kind", "e.entity")))
-    each = once(with_words(shared), terms=F.array_distinct(F.transform("words", F.lower))).select("e.*", F.explode("terms").alias("term"))
+    shared = bearing.withColumn("e", F.explode(entity)).where(frequent(F.xxhash64("e.kind", "e.entity")))
+    each = with_terms(shared).select("e.*", F.explode("terms").alias("term"))
     together = stage(each.groupBy("kind", "entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support).join(
         entities, ["kind", "entity"]), "pii-together")
     total = texts.count()
     # a disclosure of t or more means n_term <= both * (N / n_entity) ** (1 - t)
-    asked = stage(together.groupBy("term").agg(F.max(F.col("both") * F.pow(
-        F.lit(float(total)) / F.col("n_entity"), F.lit(1 - threshold)) * (1 + 1e-9)).alias("most")), "pii-asked")
-    within = _filter_of(asked.select(F.xxhash64("term").alias("hash")), asked.count())
-    words = once(with_words(texts), terms=F.array_distinct(F.transform("words", F.lower))).select("text_id", F.explode("terms").alias("term"))
-    holders = stage(words.where(within(F.xxhash64("term"))).join(asked, "term"), "pii-holders")
-    n_term = holders.groupBy("term").agg(F.count("*").alias("n_term"), F.first("most").alias("most")).where(F.col("n_term") <= F.col("most"))
+    asked = together.groupBy("term").agg(F.max(F.col("both") * F.pow(
+        F.lit(float(total)) / F.col("n_entity"), F.lit(1 - threshold)) * (1 + 1e-9)).alias("most"))
+    words = with_terms(texts).select("text_id", F.explode("terms").alias("term"))
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(asked, "term").where(F.col("n_term") <= F.col("most"))
     told = F.log(F.col("both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     full = F.log(F.lit(float(total)) / F.col("n_entity"))
     telling = stage(together.join(n_term.select("term", "n_term"), "term").withColumn(
         "disclosure", F.when(F.col("n_entity") < total, told / full)).where(F.col("disclosure") >= threshold).groupBy(
         "term").agg(F.max("disclosure").alias("disclosure")), "pii-disclosures")
-    marked = stage(holders.join(telling, "term", "left_semi").select("text_id").distinct(), "pii-marked")
-    holding = _filter_of(marked.select(F.xxhash64("text_id").alias("hash")), marked.count())
-    found = with_words(texts.where(holding(F.xxhash64("text_id"))))
-    lengths = once(found, lengths=F.when(F.col("placed").isNull(), _lengths(F.col("found"), F.split("text", _WORD, -1))))
-    places = once(lengths, at=F.when(F.col("placed").isNull(), _placed(F.col("lengths"))).otherwise(F.transform(
-        "placed", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value")))))
     telling_hash = _filter_of(telling.select(F.xxhash64("term").alias("hash")), telling.count())
+    held = words.where(telling_hash(F.xxhash64("term"))).join(telling, "term", "left_semi")
+    marked = stage(held.select("text_id").distinct(), "pii-marked")
+    holding = _filter_of(marked.select(F.xxhash64("text_id").alias("hash")), marked.count())
+    found = once(texts.where(holding(F.xxhash64("text_id"))), lengths=_lengths(
+        F.regexp_extract_all("masked", F.lit(_MASKED_WORD), F.lit(0)), F.split("masked", _MASKED_WORD, -1)))
+    places = once(found, at=_placed(F.col("lengths")))
     spots = places.select("text_id", F.explode("at").alias("w")).select("text_id", "w.start", "w.end", F.lower("w.value").alias("term"))
     return spots.where(telling_hash(F.xxhash64("term"))).join(telling, "term").groupBy("text_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
@@ -265,7 +283,7 @@ def pii_rows(docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT, t
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
     if near is None:
         known = rows.withColumn("text_id", F.unhex(F.sha2("text", 256)))
-        texts = stage_packed(find_spans(known.select("text_id", "text").dropDuplicates(["text_id"])), "pii-texts")
+        texts = stage_packed(masked(find_spans(known.select("text_id", "text").dropDuplicates(["text_id"]))), "pii-texts")
         terms = whole_text_terms(texts, support, threshold)
         spans = stage(texts.select("text_id", *KINDS).join(terms, "text_id", "left").withColumn(
             "terms", F.coalesce("terms", none)), "pii-spans")
