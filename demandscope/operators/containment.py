@@ -1,24 +1,53 @@
-"""Texts that contain a word, inside one of their own words."""
+"""The first texts that contain a word, inside one of their own words."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from demandscope.operators.series import newest_rows
+from demandscope.session import stage
 
-def containing(wanted: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """(storefront, token, ``text``) of all texts with ``token`` (no spaces in it) somewhere, in lower case.
+GRAM = 3  # letters by which tokens and words meet
 
-    The texts' vocabulary, not the texts, meets the tokens on a gram of up to three letters; the words that contain a
-    token lead back to the texts. A word that fills many texts is one row until then.
+
+def _grams(word: str, k: int):
+    """The different stretches of ``k`` letters of a column; none of a shorter word."""
+    last = F.length(word) - (k - 1)
+    return F.when(last >= 1, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.col(word).substr(i, F.lit(k))))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def holding_words(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(storefront, word, token): the words of the vocabulary that have a wanted ``token`` inside.
+
+    A token meets the words on its rarest stretch of three letters (a shorter token on itself). A token with a
+    stretch that no word has is in no word.
+    """
+    tokens = wanted.select("storefront", "token").distinct().filter(F.col("token") != "")
+    own = F.when(F.length("token") < GRAM, F.array("token")).otherwise(_grams("token", GRAM))
+    asked = stage(tokens.select("storefront", "token", F.explode(own).alias("_gram")), "token-grams")
+    grams = vocabulary.select("storefront", "word", F.explode(F.array_distinct(F.concat(
+        *(_grams("word", k) for k in range(1, GRAM + 1))))).alias("_gram"))
+    met = stage(grams.join(asked.select("storefront", "_gram").distinct(), ["storefront", "_gram"], "left_semi"), "word-grams")
+    counts = met.groupBy("storefront", "_gram").agg(F.count("*").alias("_n"))
+    rarest = asked.join(counts, ["storefront", "_gram"], "left").groupBy("storefront", "token").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_best")).select(
+        "storefront", "token", F.col("_best._gram").alias("_gram"))
+    return rarest.join(met, ["storefront", "_gram"]).filter(F.col("word").contains(F.col("token"))).select(
+        "storefront", "word", "token")
+
+
+def first_containing(wanted: DataFrame, texts: DataFrame, text: str, order: list[str], limit: int) -> DataFrame:
+    """(storefront, token, ``order``): for each ``token`` (no spaces in it) the first ``limit`` texts with it somewhere.
+
+    ``texts`` has one row per (storefront, ``text``), compared in lower case; ``order`` names columns that sort them, the
+    text itself last. Each word keeps only its first ``limit`` texts, which suffices: a text that is among the first of a
+    token is among the first of the word that holds the token. So what meets a token is ``limit`` rows for each such word.
     """
-    parts = texts.select("storefront", text).distinct().select(
-        "storefront", text, F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("_word"))
-    size = F.length("_word")
-    grams = lambda k: F.transform(
-        F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1))), lambda i: F.col("_word").substr(i, F.lit(k)))
-    vocabulary = parts.select("storefront", "_word").distinct().select("storefront", "_word", F.explode(F.array_distinct(
-        F.concat(grams(1), grams(2), grams(3)))).alias("_gram"))
-    tokens = wanted.select("storefront", "token").distinct().withColumn("_gram", F.substring("token", 1, 3))
-    holders = tokens.join(vocabulary, ["storefront", "_gram"]).filter(F.col("_word").contains(F.col("token")))
-    return parts.join(holders.select("storefront", "_word", "token"), ["storefront", "_word"]).select(
-        "storefront", "token", text).distinct()
+    parts = texts.select("storefront", *order, F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("word"))
+    words = stage(holding_words(wanted, parts.select("storefront", "word").distinct()), "holding-words")
+    listed = parts.join(words.select("storefront", "word").distinct(), ["storefront", "word"], "left_semi")
+    ahead = newest_rows(listed, ["storefront", "word"], [F.asc(c) for c in order], limit).drop("_place")
+    united = ahead.join(words, ["storefront", "word"]).select("storefront", "token", *order).distinct()
+    return newest_rows(united, ["storefront", "token"], [F.asc(c) for c in order], limit).withColumnRenamed("_place", "place")

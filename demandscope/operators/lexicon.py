@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandscope.config import BROAD_TERMS, REPROBE_AFTER_DAYS, STOPWORDS, probe_suffixes, seed_order
 from demandscope.functions.text import root_matches, singularize, tokens
-from demandscope.operators.containment import containing
-from demandscope.operators.series import newest_rows
+from demandscope.operators.containment import first_containing
+from demandscope.session import stage
 
 
 def best_positions(suggestions: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def related_suggestions(terms: DataFrame, suggestions: DataFrame, limit: int = 3
     """Suggestions containing a term's first token, best places first."""
     wanted = terms.select("storefront", F.lower(F.try_element_at(tokens(F.col("term")), F.lit(1))).alias("token")) \
         .filter(F.col("token").isNotNull()).distinct()
-    best = suggestions.groupBy("storefront", F.col("term").alias("suggestion")).agg(F.min("position").alias("position"))
-    pairs = containing(wanted, best, "suggestion").join(best, ["storefront", "suggestion"])
-    return newest_rows(pairs, ["storefront", "token"], [F.asc("position"), F.asc("suggestion")], limit).select(
-        "storefront", "token", "suggestion", "position", F.col("_place").alias("place"))
+    best = stage(suggestions.groupBy("storefront", F.col("term").alias("suggestion")).agg(
+        F.min("position").alias("position")), "suggestions")
+    return first_containing(wanted, best, "suggestion", ["position", "suggestion"], limit).select(
+        "storefront", "token", "suggestion", "position", "place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandscope.functions.text import tokens
-from demandscope.operators.containment import containing
+from demandscope.operators.containment import first_containing
 from demandscope.operators.series import newest_rows
 
 
@@ -64,9 +64,9 @@ def related_exclusions(seeds: DataFrame, excluded: DataFrame, limit: int = 40) -
     """Per seed, the first excluded queries (alphabetically) that contain one of its words."""
     key = ["term", "storefront"]
     wanted = seeds.select(*key, F.explode(F.array_distinct(tokens(F.col("term")))).alias("token"))
-    matched = wanted.join(containing(wanted, excluded, "query"), ["storefront", "token"]).withColumnRenamed("token", "word")
-    # the first `limit` per word, so that a common word is cut before words are united
-    per_word = newest_rows(matched, [*key, "word"], [F.asc("query")], limit).select(*key, "query").distinct()
+    known = excluded.select("storefront", "query").distinct()
+    per_word = wanted.join(first_containing(wanted, known, "query", ["query"], limit), ["storefront", "token"]).select(
+        *key, "query").distinct()  # at most ``limit`` for each word of the seed
     return newest_rows(per_word, key, [F.asc("query")], limit).select(
         *key, "query", F.col("_place").alias("place"))
 
