@@ -7,12 +7,12 @@ at an overlap of 0.60, or at 0.30 when their first items are the same.
 the same terms, so it never enumerates the pairs of a crowd:
 
 * lists with identical items (and leader) are folded onto one representative first;
-* items found in at most ``hot_degree`` lists meet in an ordinary join;
-* lists that share only hot items are tied through *subset keys*: a list of at least m items
-  emits its c-element subsets, c being the overlap required when the smaller list has m
+* if the rarest item that two lists share is found in at most ``hot_degree`` lists, an ordinary join on it finds them;
+* otherwise they share hot items only, and are tied through *subset keys*: a list of at least m items
+  emits the c-element subsets of its hot items, c being the overlap required when the smaller list has m
   items. Two lists with the same key, one of them having exactly m items, are linked by
   definition, so every key ties its members to one of its m-item lists. That is linear
-  in the number of lists, whatever their popularity, and it combines map-side.
+  in the number of lists, whatever their popularity, and it combines map-side. Lists without hot items emit nothing.
 """
 
 from __future__ import annotations
@@ -61,33 +61,42 @@ def _ranked_items(prints: DataFrame) -> DataFrame:
     return prints.join(placed, NODE)
 
 
-def _candidates(prints: DataFrame, overlap: float, same_leader: bool, max_degree: int | None) -> DataFrame:
-    """Pairs that reach ``overlap``, found through their rarest items.
+def _sizes(prints: DataFrame) -> DataFrame:
+    """The list sizes of each storefront, ten at most."""
+    return prints.groupBy("storefront").agg(F.array_sort(F.collect_set("size")).alias("sizes"))
 
-    With c shared items needed, the first size - c + 1 items of both lists (in one
-    global order) have one in common; rarer items come first, so popular ones are joined
-    on only where a list has nothing rarer.
+
+def _prefix_rows(ranked: DataFrame, overlap: float, same_leader: bool, max_degree: int | None) -> tuple[DataFrame, DataFrame]:
+    """What the smaller and the larger lists send into the join, under (storefront, item, size of the smaller one).
+
+    With c shared items needed, the first size - c + 1 items of both lists (in one global order, the rarest first) have
+    one in common. As c depends on the smaller size m, a list sends m with each item, and only the items that it
+    needs for this m.
     """
-    side = _ranked_items(prints).select(*NODE, "items", "size", "leader", F.posexplode("ranked").alias("place", "entry")).select(
-        *NODE, "items", "size", "leader", "place", F.col("entry.item").alias("item"),
-        F.col("entry.degree").alias("degree"))
-    if max_degree is not None:
-        side = side.filter(F.col("degree") <= max_degree)
-    keys = ["storefront", "item"] + (["leader"] if same_leader else [])
-    a = side.select(*keys, F.col("term").alias("a"), F.col("items").alias("items_a"),
-                    F.col("size").alias("size_a"), F.col("place").alias("place_a"))
-    b = side.select(*keys, F.col("term").alias("b"), F.col("items").alias("items_b"),
-                    F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-    smaller = F.least("size_a", "size_b")
-    least = needed(smaller, overlap)
-    common = F.size(F.array_intersect("items_a", "items_b"))
+    leader = ["leader"] if same_leader else []
+
+    def rows(m: Column, name: str) -> DataFrame:
+        side = ranked.select("storefront", *leader, F.col("term").alias(name), F.col("items").alias(f"items_{name}"),
+                             F.col("size").alias(f"size_{name}"), "ranked", m.alias("m")).select(
+            "storefront", *leader, name, f"items_{name}", f"size_{name}", "m", F.explode(F.slice(
+                "ranked", F.lit(1), F.col(f"size_{name}") - needed(F.col("m"), overlap) + 1)).alias("entry"))
+        if max_degree is not None:
+            side = side.filter(F.col("entry.degree") <= max_degree)
+        return side.withColumn("item", F.col("entry.item")).drop("entry")
+
+    return rows(F.col("size"), "small"), rows(F.explode(F.filter("sizes", lambda m: m <= F.col("size"))), "large")
+
+
+def _candidates(ranked: DataFrame, overlap: float, same_leader: bool, max_degree: int | None) -> DataFrame:
+    """Pairs that reach ``overlap``, found through their rarest items; ``ranked`` lists have the sizes of their storefront."""
+    small, large = _prefix_rows(ranked, overlap, same_leader, max_degree)
+    common = F.size(F.array_intersect("items_small", "items_large"))
     return (
-        a.join(b, keys)
-        .filter((F.col("a") < F.col("b"))
-                & (F.col("place_a") <= F.col("size_a") - least)
-                & (F.col("place_b") <= F.col("size_b") - least))
-        .filter(common >= least)
-        .select("storefront", "a", "b", common.alias("n_common"), smaller.alias("n_smaller"))
+        small.join(large, ["storefront", "item", "m"] + (["leader"] if same_leader else []))
+        .filter((F.col("size_large") > F.col("m")) | (F.col("small") < F.col("large")))
+        .filter(common >= needed(F.col("m"), overlap))
+        .select("storefront", F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"),
+                common.alias("n_common"), F.col("m").alias("n_smaller"))
         .distinct()
     )
 
@@ -97,13 +106,14 @@ def _linkable(prints: DataFrame) -> DataFrame:
 
 
 def _fold(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct lists under their smallest term, and the copies (storefront, a, b) of each."""
+    """Distinct lists under their smallest term, with ranked items, and the copies (storefront, a, b) of each."""
     prints = stage(
         _linkable(fingerprints(lists)).withColumn(
             "lead_key", F.coalesce(F.col("leader").cast("string"), F.lit(""))), "fingerprints")
     same = ["storefront", "items", "lead_key"]
-    folded = stage(prints.groupBy(*same).agg(
+    distinct = stage(prints.groupBy(*same).agg(
         F.min("term").alias("term"), F.first("leader").alias("leader"), F.first("size").alias("size")), "folded")
+    folded = stage(_ranked_items(distinct).join(_sizes(distinct), "storefront"), "ranked-lists")
     copies = (
         prints.select(*same, F.col("term").alias("b"), "size")
         .join(folded.select(*same, F.col("term").alias("a")), same).filter(F.col("a") != F.col("b"))
@@ -133,24 +143,27 @@ def overlap_pairs(lists: DataFrame, overlap: float = T.cluster_overlap,
         F.col("led").alias("same_leader")))
 
 
-def _subset_links(crowd: DataFrame, sizes: list[int], overlap: float, same_leader: bool) -> DataFrame:
-    """Star links between lists that share a subset large enough for ``overlap``."""
-    # list size -> every (m, places of an m-list's required subset); a constant of the plan
+def _subset_links(folded: DataFrame, hot_degree: int, overlap: float, same_leader: bool) -> DataFrame:
+    """Star links between lists that share enough hot items for ``overlap``."""
+    # number of hot items -> every (m, places of a subset that an m-list requires); a constant of the plan
     table = {
-        size: [{"m": m, "places": [i + 1 for i in places]}
-               for m in sizes if m <= size
-               for places in combinations(range(size), _needed(m, overlap))]
-        for size in range(1, LIST_DEPTH + 1)
+        hot: [{"m": m, "places": [i + 1 for i in places]} for m in range(1, LIST_DEPTH + 1)
+              for places in combinations(range(hot), _needed(m, overlap))]
+        for hot in range(1, LIST_DEPTH + 1)
     }
     options = F.from_json(F.lit(json.dumps(table)),
                           "map<string, array<struct<m: int, places: array<int>>>>")
-    subsets = F.transform(options[F.col("size").cast("string")], lambda o: F.struct(
-        o["m"].alias("m"),
-        F.transform(o["places"], lambda i: F.element_at("items", i)).alias("items")))
+    hot = F.array_sort(F.transform(F.filter("ranked", lambda r: r["degree"] > hot_degree), lambda r: r["item"]))
+    crowd = folded.withColumn("hot", hot).filter(F.size("hot") > 0)
+    if same_leader:  # a leader that is not hot is a shared item by which the ordinary join finds the pair
+        crowd = crowd.filter(~F.array_contains("items", F.col("leader")) | F.array_contains("hot", F.col("leader")))
+    own = F.filter(options[F.size("hot").cast("string")], lambda o: (o["m"] <= F.col("size")) & F.array_contains("sizes", o["m"]))
+    subsets = F.transform(own, lambda o: F.struct(
+        o["m"].alias("m"), F.transform(o["places"], lambda i: F.element_at("hot", i)).alias("items")))
     keys = ["storefront", "m", "subset"]
     if same_leader:
         keys.append("leader")
-        holds = F.array_contains("items", F.col("leader"))
+        holds = F.array_contains("hot", F.col("leader"))
         subsets = F.filter(subsets, lambda s: ~holds | F.array_contains(s["items"], F.col("leader")))
     keyed = crowd.select("storefront", "term", "size", "leader", F.explode(subsets).alias("s")).select(
         "storefront", "term", "size", "leader", F.col("s.m").alias("m"), F.col("s.items").alias("subset"))
@@ -165,23 +178,10 @@ def cluster_links(lists: DataFrame, overlap: float = T.cluster_overlap,
     """Links (storefront, a, b) that connect exactly the terms single linkage connects."""
     folded, copies = _fold(lists)
     leaders = folded.filter(F.col("leader").isNotNull())
-    links = (
+    return (
         copies.select("storefront", "a", "b")
         .unionByName(_candidates(folded, overlap, False, hot_degree).select("storefront", "a", "b"))
         .unionByName(_candidates(leaders, leader_overlap, True, hot_degree).select("storefront", "a", "b"))
-    )
-
-    long = folded.select("storefront", "term", F.explode("items").alias("item"))
-    hot_items = stage(long.groupBy("storefront", "item").agg(F.count("*").alias("degree")).filter(
-        F.col("degree") > hot_degree).select("storefront", "item"), "hot-items")
-    if hot_items.isEmpty():
-        return links
-    crowded = long.join(hot_items, ["storefront", "item"], "left_semi").select("storefront", "term").distinct()
-    crowd = stage(folded.join(crowded, ["storefront", "term"], "left_semi"), "crowd")
-    sizes = sorted(r["size"] for r in crowd.select("size").distinct().collect())  # at most ten values
-    led = crowd.filter(F.col("leader").isNotNull())
-    return (
-        links
-        .unionByName(_subset_links(crowd, sizes, overlap, same_leader=False))
-        .unionByName(_subset_links(led, sizes, leader_overlap, same_leader=True))
+        .unionByName(_subset_links(folded, hot_degree, overlap, same_leader=False))
+        .unionByName(_subset_links(leaders, hot_degree, leader_overlap, same_leader=True))
     )

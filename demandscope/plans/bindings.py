@@ -202,17 +202,17 @@ def keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(lists(spark, sf_dir).join(keywords(spark, sf_dir), ["term", "storefront"]))
 
 
-def document_lists(spark: SparkSession, sf_dir: str, depth: int = 10) -> DataFrame:
-    """Documents as lists: the ten rarest tokens of each, rarest first.
+def document_lists(spark: SparkSession, sf_dir: str, depth: int = 10, common: bool = False) -> DataFrame:
+    """Documents as lists: the ten rarest (or commonest) tokens of each, in this order.
 
-    Near copies share their rare tokens, so real clusters appear. Items are hashed tokens;
-    a document's own ranking is cut to ten before it leaves its task.
+    Near copies share their rare tokens, so real clusters appear; common tokens are in the lists of crowds. Items are
+    hashed tokens; a document's own ranking is cut to ten before it leaves its task.
     """
     text = F.lower("text")
     long = text_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", F.col("lang").alias("storefront"), F.explode(F.array_distinct(tokens(text))).alias("token"))
     frequency = long.groupBy("token").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("storefront", "doc_id").orderBy("df", "token")
+    order = Window.partitionBy("storefront", "doc_id").orderBy(F.desc("df") if common else F.asc("df"), "token")
     rare = long.join(frequency, "token").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= depth)
     ids = F.conv(F.substring(F.md5("token"), 1, 15), 16, 10).cast("bigint")
     ordered = F.array_sort(F.collect_list(F.struct("pos", ids.alias("track_id"))))

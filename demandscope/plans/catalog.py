@@ -793,6 +793,12 @@ def overlap_clusters(spark, sf):
     return graph.cluster_members(B.document_lists(spark, sf))
 
 
+@query
+def crowd_clusters(spark, sf):
+    """Clusters of lists whose items are the commonest tokens, far above the hot degree."""
+    return graph.cluster_members(B.document_lists(spark, sf, common=True), hot_degree=20)
+
+
 @query
 def cluster_heads(spark, sf):
     lists = stage(B.lists(spark, sf), "lists")

@@ -84,6 +84,7 @@ CTES["doc_rows"] = """
         FROM (SELECT *, count(*) OVER (PARTITION BY token) AS df FROM (
           SELECT doc_id, lang AS storefront, unnest(list_distinct(""" + toks("lower(text)") + """)) AS token FROM documents)))
   WHERE pos <= 10"""
+CTES["crowd_rows"] = CTES["doc_rows"].replace("ORDER BY df, token", "ORDER BY df DESC, token")
 CTES["sugg_rows"] = f"""
   SELECT doc_id, line, storefront, ws[1] AS prefix, array_to_string(ws, ' ') AS term,
          line % 10 + 1 AS position, TIMESTAMP '2024-01-01' + to_days((doc_id % 90)::INT) AS seen_at

@@ -621,6 +621,7 @@ def _cluster_ctes(name: str, rows: str) -> None:
 
 _cluster_ctes("doc", "doc_rows")
 _cluster_ctes("lst", "list_rows")
+_cluster_ctes("crowd", "crowd_rows")
 
 
 def _folded_pairs(pairs: str, rows: str) -> str:
@@ -637,6 +638,7 @@ WHERE (x.first_term = a AND y.first_term = b) OR (x.first_term = a AND y.first_t
 SQL["overlap_pairs"] = _folded_pairs("doc_pairs", "doc_rows")
 SQL["overlap_pairs_of_lists"] = _folded_pairs("lst_pairs", "list_rows")
 SQL["overlap_clusters"] = "SELECT storefront, term, cluster_id FROM doc_members"
+SQL["crowd_clusters"] = "SELECT storefront, term, cluster_id FROM crowd_members"
 SQL["cluster_heads"] = f"""
 SELECT storefront, cluster_id, term AS head, n_members FROM (
   SELECT *, count(*) OVER (PARTITION BY storefront, cluster_id) AS n_members,
