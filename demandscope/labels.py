@@ -37,5 +37,8 @@ REASON_NONE, REASON_MISSING = "нет сильных признаков", " · 
 STRENGTH_NEW, STRENGTH_SUSTAINED = "новичок", "устойчивый рост"
 STRENGTH_UP, STRENGTH_DOWN, STRENGTH_STABLE = "рост", "падение", "стабильно"
 
+# An alert of the weekly report.
+ALERT_RATING, ALERT_CHANCE = ": рейтинг ", " — окно на перехват"
+
 # Trend arrows.
 UP, DOWN, FLAT, NONE = "↑", "↓", "→", "·"

@@ -95,6 +95,19 @@ def popularity_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(volumes.select("term", "country", "genre", "period", "volume"), "MONTHLY")
 
 
+def keyword_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking of the keywords of each storefront by what is ordered of their parts in a complete month."""
+    keyword = keyword_text(table(spark, sf_dir, "part")).select("p_partkey", "term", F.col("storefront").alias("country"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period"))
+    unfinished = orders.agg(F.max("period"))
+    volumes = (
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+        .join(orders.filter(F.col("period") < unfinished.scalar()), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey", "period").agg(F.sum("l_quantity").alias("volume"))
+        .join(keyword, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("term", "country", F.lit("all").alias("genre"), "period").agg(F.sum("volume").alias("volume")))
+    return _ranked(volumes, "WEEKLY_SUN_SAT")
+
+
 # --- ranked lists -------------------------------------------------------------------------
 
 def keyword_text(part: DataFrame) -> DataFrame:
@@ -178,6 +191,20 @@ def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         "term", "storefront", F.lit(AS_OF).cast("timestamp").alias("taken_at"), "apps")
 
 
+def list_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly snapshots of the ranked lists: ``term, storefront, taken_at, apps``, the items by what was shipped in the year."""
+    keyword = keyword_text(table(spark, sf_dir, "part")).select("p_partkey", "term", "storefront")
+    year = F.trunc(F.col("l_shipdate").cast("date"), "year")
+    totals = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey", year.alias("taken_at")).agg(
+        F.sum("l_quantity").alias("qty")).join(keyword, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+        "term", "storefront", "taken_at", F.col("l_suppkey").alias("track_id")).agg(F.sum("qty").alias("qty"))
+    order = Window.partitionBy("term", "storefront", "taken_at").orderBy(F.desc("qty"), "track_id")
+    top = totals.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= 10)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "track_id")))
+    return top.groupBy("term", "storefront", "taken_at").agg(
+        F.transform(ordered, lambda r: F.struct(r["track_id"].alias("track_id"))).alias("apps"))
+
+
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyword table: one row per (term, storefront)."""
     place = F.when(F.col("p_size") % 6 != 5, F.col("p_size") % 12 + 1)
@@ -246,6 +273,13 @@ def suggestions(spark: SparkSession, sf_dir: str, opening: int | None = None) ->
     return suggestion_rows(spark, sf_dir, opening).select("prefix", "term", "position", "storefront", "seen_at")
 
 
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as autocomplete sightings of the keyword of the part with the user's number."""
+    keyword = keyword_text(table(spark, sf_dir, "part")).select("p_partkey", "term", "storefront")
+    return table(spark, sf_dir, "events").join(keyword, F.col("user_id") == F.col("p_partkey")).select(
+        "term", "storefront", (F.col("event_id") % 12 + 1).cast("int").alias("position"), F.col("ts").cast("timestamp").alias("seen_at"))
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows as raw readings of items."""
     return table(spark, sf_dir, "events").select(
@@ -367,7 +401,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payloads_of(documents: DataFrame) -> DataFrame:
     """Documents as suggestion payloads in the three accepted shapes, plus junk."""
     lines = F.transform(F.split("text", "\n"), lambda t: F.trim(F.regexp_replace(
-        F.substring_index(t, " ", 4), r'[\\"\t\r]', "")))
+        t, r'[\\"\t\r]', "")))
     quoted = lambda t: F.concat(F.lit('"'), t, F.lit('"'))
     as_text = F.array_join(F.transform(lines, quoted), ", ")
     as_object = F.array_join(F.transform(lines, lambda t: F.concat(F.lit('{"term": '), quoted(t), F.lit("}"))), ", ")

@@ -16,12 +16,12 @@ from demandscope.functions.text import (
     normalize_term, root_matches, singularize, squash, title_head, tokens,
 )
 from demandscope.operators import (
-    decisions as D, graph, lexicon, overlap, popularity as P, proposals as PR, replies as R,
-    series as S, variants,
+    asof, decisions as D, graph, lexicon, overlap, popularity as P, proposals as PR, replies as R,
+    series as S, storefronts, variants,
 )
 from demandscope.operators.features import fingerprint, leader_id, with_features
 from demandscope.operators.rating import with_rating
-from demandscope.operators.scoring import FACTORS
+from demandscope.operators.scoring import FACTORS, headline_reason
 from demandscope.plans import bindings as B, niches as N, rescore as RS
 from demandscope.session import stage, staging_root
 from demandscope.sources import landing, tables
@@ -289,11 +289,11 @@ def decode_suggestions(spark, sf):
 
 @query
 def root_match(spark, sf):
-    """Whole-word root matches between conversation openings and their first word."""
-    term = normalize_term(F.substring_index("text", "\n", 1))
-    rows = B.table(spark, sf, "conversations").select("conv_id", "turn", term.alias("term")).withColumn(
-        "root", F.lower(F.substring_index("term", " ", 1)).substr(1, 4))
-    return rows.select("conv_id", "turn", root_matches(F.col("root"), F.col("term")).alias("matches"))
+    """Whole-word root matches between the lines of a turn and the turn's first word."""
+    rows = B.table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.lower(F.split_part(normalize_term(F.col("text")), F.lit(" "), F.lit(1))).alias("root"),
+        F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    return rows.select("conv_id", "turn", "line", root_matches(F.col("root"), normalize_term(F.col("raw"))).alias("matches"))
 
 
 @query
@@ -457,6 +457,42 @@ def enrich_outcomes(spark, sf):
     return RS.enrich(wanted, snapshots, known).groupBy("storefront", "outcome").agg(F.count("*").alias("n"))
 
 
+@query
+def review_growth(spark, sf):
+    return RS.with_review_growth(B.keyword_lists(spark, sf), S.review_delta(B.metrics(spark, sf), depth=20)).select(
+        "term", "storefront", "top1_weekly_review_delta", "est_monthly_installs")
+
+
+@query
+def newest_snapshots(spark, sf):
+    """The newest of several yearly snapshots of each keyword, and the one before it, by their items."""
+    history = stage(B.list_history(spark, sf), "history")
+    newest = RS.latest_lists(history)
+    known = asof.asof_join(newest.withColumn("until", F.date_sub("taken_at", 1)), history.select(
+        "term", "storefront", F.col("taken_at").alias("before"), F.col("apps").alias("apps_before")), ["term", "storefront"],
+        "until", "before", ["before", "apps_before"])
+    items = lambda c: F.array_join(F.transform(c, lambda a: a["track_id"].cast("string")), ",")
+    return known.select("term", "storefront", "taken_at", items("apps").alias("items"), "before", items("apps_before").alias("items_before"))
+
+
+@query
+def decision_context(spark, sf):
+    """The last place at which a keyword was seen in the autocomplete before each decision on it."""
+    return asof.asof_join(B.decisions(spark, sf).filter(F.col("verdict").isin("go", "no_go")),
+                          B.sightings(spark, sf).filter(F.col("position") <= 6), ["term", "storefront"], "decided_at", "seen_at",
+                          ["position"]).select("term", "storefront", "reason", "verdict", "position")
+
+
+@query
+def storefront_choice(spark, sf):
+    """Lists of storefronts that customers ask for, some unknown, some empty."""
+    asked = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.when(
+        F.col("c_custkey") % 7 != 0, F.concat_ws(",", F.lit(" GB"), F.substring("c_name", -2, 2), F.element_at(
+            F.array(*[F.lit(x) for x in ("us", "de", "FR ", "zz", "")]), (F.col("c_custkey") % 5 + 1).cast("int")))).alias("stores"))
+    odd = asked.withColumn("stores", F.when(F.col("request_id") % 3 == 0, F.regexp_replace("stores", "GB|us", "xx")).otherwise(F.col("stores")))
+    return storefronts.chosen_storefronts(odd)
+
+
 @query
 def tracked_items(spark, sf):
     return RS.tracked_items(B.keyword_lists(spark, sf))
@@ -672,9 +708,8 @@ def proposal_replies(spark, sf):
 def proposal_exclusions(spark, sf):
     proposed = R.parse_proposals(B.proposal_replies(spark, sf)).select("query", "storefront").distinct()
     keywords = B.titles(spark, sf).select("term", F.lit("us").alias("storefront"))
-    earlier = B.table(spark, sf, "conversations").filter(F.col("turn") == 0).select(
-        F.array_join(F.slice(tokens(normalize_term(F.substring_index("text", ".", 1))), 1, 2), " ").alias("query"),
-        F.lit("us").alias("storefront"))
+    earlier = B.table(spark, sf, "conversations").select(F.explode(F.split("text", "[.\n]")).alias("sentence")).select(
+        normalize_term(F.col("sentence")).alias("query"), F.lit("us").alias("storefront"))
     return PR.without_known(proposed, keywords, earlier)
 
 
@@ -886,15 +921,36 @@ def weekly_niches(spark, sf):
     return N.weekly_niches(_table(spark, sf), 30).select("term", "storefront", "stars", "score", "route")
 
 
+def _evidence(spark, sf):
+    return N.with_trend(_table(spark, sf), S.demand_trend(B.sightings(spark, sf)), S.traffic_trend(B.metrics(spark, sf)))
+
+
+@query
+def niche_evidence(spark, sf):
+    """The trend arrow, the headline reason and the missing signals of every shown niche."""
+    return _evidence(spark, sf).select("term", "storefront", "trend", "why", "missing")
+
+
+@query
+def weekly_report(spark, sf):
+    alerts = S.decay_alerts(B.metrics(spark, sf), B.item_titles(spark, sf), F.lit(B.EVENTS_AS_OF), days=20, min_drop=0.1)
+    return N.weekly_report(_evidence(spark, sf), alerts)
+
+
+@query
+def headline_reasons(spark, sf):
+    return _scored(spark, sf).select("term", "storefront", headline_reason().alias("why"))
+
+
 @query
 def route_counts(spark, sf):
     return N.route_counts(_table(spark, sf))
 
 
 def _popularity_of_terms(spark, sf):
-    """A popularity per (term, storefront) for two keywords in three."""
-    return B.keywords(spark, sf).filter(F.col("first_part") % 3 != 0).select(
-        "term", F.col("storefront").alias("country"), (F.col("first_part") % 100).cast("int").alias("popularity"))
+    """The measured popularity of keywords, from the newest period of their ranking."""
+    pop, periods = _stored(B.keyword_popularity(spark, sf), "WEEKLY_SUN_SAT")
+    return P.newest_popularity(pop, periods[-1] if periods else None, "WEEKLY_SUN_SAT")
 
 
 @query

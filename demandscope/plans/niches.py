@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from demandscope import labels
 from demandscope.config import THRESHOLDS as T
-from demandscope.functions.scalar import score_band, short_count, tenths
+from demandscope.functions.scalar import round_half_up, score_band, short_count, tenths
 from demandscope.functions.similarity import brand_signal
 from demandscope.functions.text import eligible_head
 from demandscope.operators import graph, lexicon
 from demandscope.operators.rating import with_rating
 from demandscope.operators.replies import with_defaults
 from demandscope.operators.scoring import factor_map, headline_reason
-from demandscope.operators.series import newest_rows
+from demandscope.operators.series import chosen_trend, newest_rows
 from demandscope.session import stage
 
 KEY = ["term", "storefront"]
@@ -104,6 +104,31 @@ def weekly_niches(table: DataFrame, limit: int) -> DataFrame:
         F.desc("stars"), F.desc("score"), "term", "storefront").limit(limit)
 
 
+def with_trend(table: DataFrame, demand: DataFrame, traffic: DataFrame) -> DataFrame:
+    """The niche table with ``trend``: the arrow of the demand for its term, else that of its leader's traffic."""
+    return chosen_trend(table, demand, traffic)
+
+
+def alert_lines(alerts: DataFrame) -> DataFrame:
+    """Decay alerts as lines of the report, the largest fall first."""
+    one = lambda c: round_half_up(F.col(c), 1).cast("string")
+    return alerts.select(
+        "track_id", "storefront", (F.col("rating_first") - F.col("rating_last")).alias("fall"), F.concat(
+            "title", F.lit(" ("), F.upper("storefront"), F.lit(")"), F.lit(labels.ALERT_RATING), one("rating_first"),
+            F.lit(" → "), one("rating_last"), F.lit(labels.ALERT_CHANCE)).alias("line"))
+
+
+def weekly_report(table: DataFrame, alerts: DataFrame, n_niches: int = 30, n_alerts: int = 5) -> DataFrame:
+    """The weekly report as rows of (section, place, line): its niches, then the alerts."""
+    niches = newest_rows(table.filter(F.col("route") != "brand").withColumn("_all", F.lit(1)), ["_all"], [
+        F.desc("stars"), F.desc("score"), F.asc("term"), F.asc("storefront")], n_niches).select(
+        F.lit("niche").alias("section"), F.col("_place").alias("place"), F.concat_ws(
+            " | ", F.repeat(F.lit("★"), F.col("stars").cast("int")), "display_name", F.upper("storefront"), F.col("trend")).alias("line"))
+    lines = newest_rows(alert_lines(alerts).withColumn("_all", F.lit(1)), ["_all"], [
+        F.desc(round_half_up(F.col("fall"), 6)), F.asc("track_id"), F.asc("storefront")], n_alerts)
+    return niches.unionByName(lines.select(F.lit("alert").alias("section"), F.col("_place").alias("place"), "line"))
+
+
 def route_counts(table: DataFrame) -> DataFrame:
     return table.groupBy("route").agg(F.count("*").alias("n"), F.count_if("is_new").alias("n_new"))
 

@@ -24,6 +24,14 @@ def scored(keyword_lists: DataFrame) -> DataFrame:
     return with_score(with_features(keyword_lists))
 
 
+def with_review_growth(keyword_lists: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Add the leader's weekly review delta and the monthly installs estimated from it (see ``series.review_delta``)."""
+    leader = F.try_element_at("apps", F.lit(1))["track_id"]
+    growth = deltas.select(F.col("track_id").alias("_leader"), "storefront", F.col("weekly_review_delta").alias(
+        "top1_weekly_review_delta"), "est_monthly_installs")
+    return keyword_lists.withColumn("_leader", leader).join(growth, ["_leader", "storefront"], "left").drop("_leader")
+
+
 def rescore(keyword_lists: DataFrame) -> DataFrame:
     """Recompute features and scores; statuses set by people stay.
 

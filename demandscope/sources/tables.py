@@ -64,6 +64,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
 def _pointers(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the finished pointers of a published table, ascending."""
     files, target = _file_system(spark, f"{root}/pointers")

@@ -12,7 +12,6 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from demandscope.session import Staged
 from demandscope.sources import tables
 
 
@@ -33,20 +32,24 @@ def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: list[str], o
     """Keep the row with the greatest ``order`` per key; late rows correct the table, a replay changes nothing.
 
     Every micro-batch rewrites the partitions it touches from the version before it, so the merge reads only those.
-    A null is a partition like any other.
+    A null is a partition like any other. The merged partitions are first written whole beside the checkpoint, under
+    the number of the batch. A batch that dies while it overwrites the table is run again with the same number, and then
+    takes them from there: rows that the half-done overwrite has deleted are in it.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        stored = batch.filter(F.lit(False))
-        if tables.exists(spark, path):
-            touched = batch.select(*[F.col(c).alias(f"_{c}") for c in partition_by]).distinct()
-            same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in partition_by))
-            stored = spark.read.schema(batch.schema).parquet(path).join(touched, same, "left_semi").select(*batch.columns)
-        staged = Staged(tables.last_wins(stored, batch, key, order), "upsert")
-        tables.overwrite_partitions(staged.df, path, *partition_by)
-        staged.drop()
-        batch.unpersist()
+        merged = f"{checkpoint}-upserts/batch-{batch_id}"
+        if not tables.finished(spark, merged):
+            batch = batch.persist()
+            stored = batch.filter(F.lit(False))
+            if tables.exists(spark, path):
+                touched = batch.select(*[F.col(c).alias(f"_{c}") for c in partition_by]).distinct()
+                same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in partition_by))
+                stored = spark.read.schema(batch.schema).parquet(path).join(touched, same, "left_semi").select(*batch.columns)
+            tables.last_wins(stored, batch, key, order).write.mode("overwrite").parquet(merged)
+            batch.unpersist()
+        tables.overwrite_partitions(spark.read.schema(batch.schema).parquet(merged), path, *partition_by)
+        tables.remove(spark, f"{checkpoint}-upserts/batch-{batch_id - 1}")  # its batch is committed
 
     return (
         rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -3,7 +3,7 @@
 import re
 
 from demandscope import labels as L
-from demandscope.config import probe_suffixes, seed_order
+from demandscope.config import STOREFRONTS, probe_suffixes, seed_order
 from oracle import bindings as _b, fragments as S
 
 SQL: dict[str, str] = {}
@@ -174,14 +174,15 @@ SQL["seller_flags"] = f"SELECT track_id, {S.giant('seller')} AS giant, trim({S.h
 SQL["decode_suggestions"] = f"""
 SELECT storefront, term, count(*) AS n, min(position)::INT AS position FROM (
   SELECT lang AS storefront, {S.norm('raw')} AS term, position FROM (
-    SELECT lang, array_to_string(string_split(l, ' ')[1:4], ' ') AS raw, position FROM (
+    SELECT lang, regexp_replace(l, '[\\\\"\\t\\r]', '', 'g') AS raw, position FROM (
       SELECT lang, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS position
       FROM documents WHERE doc_id % 5 <> 4)))
 WHERE length(term) > 2 GROUP BY 1, 2"""
 SQL["root_match"] = f"""
-SELECT conv_id, turn, len(list_filter({S.toks('root')}, lambda rm: NOT list_contains({S.toks("replace(term, '-', ' ')")}, rm))) = 0 AS matches
-FROM (SELECT conv_id, turn, term, substr(split_part(term, ' ', 1), 1, 4) AS root FROM (
-  SELECT conv_id, turn, {S.norm("split_part(text, chr(10), 1)")} AS term FROM conversations))"""
+SELECT conv_id, turn, line::INT AS line, len(list_filter({S.toks('root')}, lambda rm: NOT list_contains({S.toks("replace(term, '-', ' ')")}, rm))) = 0 AS matches
+FROM (SELECT conv_id, turn, line - 1 AS line, root, {S.norm('raw')} AS term FROM (
+  SELECT conv_id, turn, split_part({S.norm('text')}, ' ', 1) AS root, unnest(string_split(text, chr(10))) AS raw,
+    generate_subscripts(string_split(text, chr(10)), 1) AS line FROM conversations))"""
 _MATCHED = f"""(SELECT * FROM sugg_rows WHERE list_contains({S.toks("replace(term, '-', ' ')")}, prefix) OR prefix LIKE '%-%'
     AND len(list_filter({S.toks('prefix')}, lambda rm: NOT list_contains({S.toks("replace(term, '-', ' ')")}, rm))) = 0)"""
 SQL["best_positions"] = f"SELECT storefront, term, min(position)::INT AS position FROM {_MATCHED} GROUP BY 1, 2"
@@ -524,7 +525,7 @@ SELECT term, storefront, CASE WHEN length(term) % 3 <> 0 THEN category ELSE 'nic
 SQL["proposal_replies"] = "SELECT source_term, storefront, place::INT AS place, query, why FROM ideas"
 SQL["proposal_exclusions"] = f"""
 SELECT DISTINCT query, 'us' AS storefront FROM ideas WHERE query NOT IN (SELECT term FROM titles) AND query NOT IN (
-  SELECT array_to_string({S.toks(S.norm("split_part(text, '.', 1)"))}[1:2], ' ') FROM conversations WHERE turn = 0)"""
+  SELECT {S.norm('sentence')} FROM (SELECT unnest(string_split_regex(text, '[.\\n]')) AS sentence FROM conversations))"""
 SQL["proposal_inserts"] = """
 SELECT query, storefront, source_term, why,
   CASE WHEN length(query) % 2 <> 0 THEN 'pending' WHEN length(query) > 12 THEN 'accepted' ELSE 'no_demand' END AS status,
@@ -747,9 +748,66 @@ _b.CTES["ideas_list"] = f"""
       WHEN len({S.toks(_plain('r.term'))}) = 1 AND split_part({_plain('leader_title')}, ' ', 1) = {_plain('r.term')} THEN '{L.BRAND_BY_FIRST_WORD}'
       ELSE '' END AS sign
     FROM ({_rated("SELECT * FROM judged")}) r LEFT JOIN (
-      SELECT term, storefront, (first_part % 100)::INT AS popularity FROM keywords WHERE first_part % 3 <> 0) p
+      SELECT term, storefront, popularity FROM keyword_pop) p
       ON r.term = p.term AND r.storefront = p.storefront
     WHERE NOT is_junk AND r.term NOT IN (SELECT term FROM ({_HIDDEN})))"""
+_b.CTES["keyword_pop"] = """
+  SELECT term, storefront, greatest(1, 101 - row_number() OVER (PARTITION BY storefront ORDER BY volume DESC, term))::INT AS popularity
+  FROM (SELECT term, storefront, sum(l_quantity) AS volume FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN kw_text ON l_partkey = p_partkey
+        WHERE date_trunc('month', o_orderdate) = (
+          SELECT max(date_trunc('month', o_orderdate)) FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+          WHERE date_trunc('month', o_orderdate) < (SELECT date_trunc('month', max(o_orderdate)) FROM orders))
+        GROUP BY 1, 2)"""
+_b.CTES["sightings"] = """
+  SELECT term, storefront, ts AS seen_at, event_id % 12 + 1 AS position FROM events JOIN kw_text ON user_id = p_partkey"""
+_b.CTES["evidence"] = f"""
+  SELECT s.*, coalesce(nullif(d.arrow, '{L.NONE}'), nullif(t.arrow, '{L.NONE}'), '{L.NONE}') AS trend
+  FROM shown s LEFT JOIN ({_DEMAND.replace('sugg_rows', 'sightings')}) d ON s.term = d.term AND s.storefront = d.storefront
+  LEFT JOIN ({_TRAFFIC}) t ON s.leader_id = t.track_id AND s.storefront = t.storefront"""
+SQL["niche_evidence"] = "SELECT term, storefront, trend, string_split(notes, '; ')[1] AS why, missing FROM evidence"
+SQL["headline_reasons"] = "SELECT term, storefront, string_split(notes, '; ')[1] AS why FROM scored"
+SQL["weekly_report"] = f"""
+SELECT 'niche' AS section, place::INT AS place, repeat('★', stars::INT) || ' | ' || coalesce(nullif(niche_name, ''), term) || ' | '
+  || upper(storefront) || ' | ' || trend AS line
+FROM (SELECT *, row_number() OVER (ORDER BY stars DESC, score DESC, term, storefront) AS place FROM evidence WHERE route <> 'brand') WHERE place <= 30
+UNION ALL
+SELECT 'alert', place::INT, title || ' (' || upper(storefront) || '){L.ALERT_RATING}' || {S.half_up('rating_first', 1)} || ' → '
+  || {S.half_up('rating_last', 1)} || '{L.ALERT_CHANCE}'
+FROM (SELECT *, row_number() OVER (ORDER BY {S.half_up('rating_first - rating_last', 6)} DESC, track_id, storefront) AS place
+      FROM ({SQL['decay_alerts']})) WHERE place <= 5"""
+SQL["review_growth"] = f"""
+SELECT k.term, k.storefront, weekly_review_delta AS top1_weekly_review_delta, est_monthly_installs
+FROM kw_lang k JOIN (SELECT * FROM list_rows WHERE pos = 1) l ON k.term = l.term AND k.storefront = l.storefront
+LEFT JOIN ({SQL['review_delta']}) d ON d.track_id = l.track_id AND d.storefront = l.storefront"""
+SQL["newest_snapshots"] = """
+WITH listed AS (
+  SELECT term, storefront, taken_at, string_agg(l_suppkey::VARCHAR, ',' ORDER BY pos) AS items,
+    row_number() OVER (PARTITION BY term, storefront ORDER BY taken_at DESC) AS age FROM (
+    SELECT term, storefront, date_trunc('year', l_shipdate)::DATE AS taken_at, l_suppkey, row_number() OVER (
+      PARTITION BY term, storefront, date_trunc('year', l_shipdate)::DATE ORDER BY sum(l_quantity) DESC, l_suppkey) AS pos
+    FROM lineitem JOIN kw_text ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4) WHERE pos <= 10 GROUP BY 1, 2, 3)
+SELECT n.term, n.storefront, n.taken_at, n.items, o.taken_at AS before, o.items AS items_before
+FROM listed n LEFT JOIN listed o ON o.term = n.term AND o.storefront = n.storefront AND o.age = 2 WHERE n.age = 1"""
+SQL["decision_context"] = """
+SELECT d.term, d.storefront, d.event_id::VARCHAR AS reason, d.verdict, (
+  SELECT arg_max(s.position, (s.seen_at, s.position)) FROM sightings s WHERE s.position <= 6 AND s.term = d.term
+    AND s.storefront = d.storefront AND s.seen_at <= d.decided_at)::INT AS position
+FROM decisions d WHERE verdict IN ('go', 'no_go')"""
+_STORES = ", ".join(f"({i}, '{key}', '{lang}')" for i, (key, lang) in enumerate(STOREFRONTS))
+SQL["storefront_choice"] = f"""
+WITH asked AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 7 <> 0 THEN CASE WHEN c_custkey % 3 = 0
+    THEN regexp_replace(stores, 'GB|us', 'xx', 'g') ELSE stores END END AS stores
+  FROM (SELECT c_custkey, ' GB,' || right(c_name, 2) || ',' || ['us', 'de', 'FR ', 'zz', ''][c_custkey % 5 + 1] AS stores FROM customer)),
+names AS (SELECT DISTINCT request_id, trim(unnest(string_split(lower(coalesce(stores, '')), ','))) AS name FROM asked),
+store AS (SELECT * FROM (VALUES {_STORES}) v(i, storefront, lang)),
+hit AS (SELECT request_id, i, storefront, lang FROM names JOIN store ON name = storefront),
+chosen AS (SELECT * FROM hit UNION ALL SELECT request_id, i, storefront, lang FROM asked, store WHERE i = 0
+           AND request_id NOT IN (SELECT request_id FROM hit))
+SELECT c.request_id, (row_number() OVER (PARTITION BY c.request_id ORDER BY i) - 1)::INT AS place, c.storefront, c.lang,
+  coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM names n WHERE n.request_id = c.request_id AND name <> ''
+            AND name NOT IN (SELECT storefront FROM store)), '') AS unknown
+FROM chosen c"""
 SQL["idea_list"] = "SELECT * FROM ideas_list"
 SQL["measured_ideas"] = """
 SELECT term, storefront, popularity, stars FROM ideas_list WHERE section = 'idea' AND popularity IS NOT NULL AND source = 'suggest'

@@ -1,8 +1,10 @@
 """Series, decisions, replies, proposals, merges, landing and streams."""
 
 import json
+import shutil
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from demandscope.functions.calendar import completed_months, completed_weeks
@@ -204,3 +206,33 @@ def test_popularity_stream_is_idempotent(spark, tmp_path):
         stream = ingest.file_stream(spark, str(tmp_path / "in"), POPULARITY)
         ingest.upsert_popularity(stream, str(tmp_path / "out"), str(tmp_path / run)).awaitTermination()
     assert {(r.term, r.rank_in_genre) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 2), ("b", 5)}
+
+
+def test_batch_that_dies_during_the_overwrite_loses_nothing(spark, tmp_path, monkeypatch):
+    """The second batch deletes the stored partition and dies before it is written again."""
+    def land(rows):
+        spark.createDataFrame(rows, POPULARITY).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        ingest.upsert_popularity(ingest.file_stream(spark, str(tmp_path / "in"), POPULARITY), str(tmp_path / "out"),
+                                 str(tmp_path / "check")).awaitTermination()
+
+    row = lambda term, rank, hour: (term, "us", "U", DAY, "W", rank, rank, rank, 1, NOW + timedelta(hours=hour))
+    land([row("a", 1, 0), row("b", 2, 0), row("c", 3, 0)])
+    run()
+    land([row("a", 9, 1), row("d", 4, 1)])
+    true = ingest.tables.overwrite_partitions
+
+    def dies(df, path, *partition_by):
+        for part in (tmp_path / "out").glob("granularity=W/*"):
+            shutil.rmtree(part)
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(ingest.tables, "overwrite_partitions", dies)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    assert not list((tmp_path / "out").glob("granularity=W/*"))
+    monkeypatch.setattr(ingest.tables, "overwrite_partitions", true)
+    run()
+    assert {(r.term, r.rank_in_genre) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 9), ("b", 2), ("c", 3), ("d", 4)}
+    assert [p.name for p in (tmp_path / "check-upserts").iterdir()] == ["batch-1"]
