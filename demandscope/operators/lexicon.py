@@ -98,6 +98,12 @@ def next_probes(objects: DataFrame, ledger: DataFrame, limit: int, min_count: in
     )
 
 
+def open_probes(objects: DataFrame, ledger: DataFrame, min_count: int = 2) -> DataFrame:
+    """All objects (storefront, token, n) that their storefront's ledger does not have yet."""
+    return objects.filter((F.col("n") >= min_count) & ~F.col("token").isin(*BROAD_TERMS, *STOPWORDS)).join(
+        ledger.select("storefront", F.col("prefix").alias("token")), ["storefront", "token"], "left_anti")
+
+
 def stalest(ledger: DataFrame, as_of: Column, limit: int, min_age_days: int = REPROBE_AFTER_DAYS) -> DataFrame:
     """Longest-unprobed prefixes older than the cut-off."""
     cutoff = as_of - F.make_dt_interval(F.lit(min_age_days))

@@ -224,6 +224,13 @@ def languages(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lang", F.coalesce(known[F.col("storefront")], F.lit(STOREFRONTS[0][1])))
 
 
+def lists_for(spark: SparkSession, sf_dir: str, heads: DataFrame) -> DataFrame:
+    """Ranked lists for collected heads: that of the keyword whose first part has the head's number, if there is one."""
+    numbered = keyword_lists(spark, sf_dir).select("first_part", "apps")
+    number = (F.length("term") * 13 + F.coalesce("position", F.lit(0))) % 200
+    return languages(heads.withColumn("first_part", number).join(numbered, "first_part").select("term", "storefront", "apps"))
+
+
 def keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords with their list, language and autocomplete place."""
     return languages(lists(spark, sf_dir).join(keywords(spark, sf_dir), ["term", "storefront"]))

@@ -22,7 +22,7 @@ from demandscope.operators import (
 from demandscope.operators.features import fingerprint, leader_id, with_features
 from demandscope.operators.rating import with_rating
 from demandscope.operators.scoring import FACTORS, headline_reason
-from demandscope.plans import bindings as B, niches as N, rescore as RS
+from demandscope.plans import bindings as B, collect as C, niches as N, rescore as RS
 from demandscope.session import stage, staging_root
 from demandscope.sources import landing, tables
 from demandscope.streaming import ingest
@@ -862,6 +862,21 @@ def collection_heads(spark, sf):
     return RS.collection_heads(B.suggestions(spark, sf, opening=3), max_snapshots=60)
 
 
+def _collected(spark, sf):
+    ledger = lexicon.probe_ledger(B.suggestions(spark, sf)).filter(F.length("prefix") % 2 == 0)
+    return C.collection_pass(B.suggestions(spark, sf, opening=3), ledger, lambda heads: B.lists_for(spark, sf, heads), 60)
+
+
+@query
+def collection_counters(spark, sf):
+    return _collected(spark, sf)[1]
+
+
+@query
+def collection_scores(spark, sf):
+    return _collected(spark, sf)[0].select("term", "storefront", "suggest_pos", "score", "verdict")
+
+
 # --- niches ----------------------------------------------------------------------------------
 
 def _queue(spark, sf):

