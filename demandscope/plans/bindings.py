@@ -200,9 +200,12 @@ def list_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "term", "storefront", "taken_at", F.col("l_suppkey").alias("track_id")).agg(F.sum("qty").alias("qty"))
     order = Window.partitionBy("term", "storefront", "taken_at").orderBy(F.desc("qty"), "track_id")
     top = totals.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= 10)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "track_id")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "track_id", "qty")))
     return top.groupBy("term", "storefront", "taken_at").agg(
-        F.transform(ordered, lambda r: F.struct(r["track_id"].alias("track_id"))).alias("apps"))
+        F.transform(ordered, lambda r: F.struct(
+            r["track_id"].alias("track_id"), F.concat(F.lit("item of "), F.col("term")).alias("title"),
+            F.concat(F.lit("genre "), F.col("taken_at").cast("string")).alias("primary_genre"),
+            (3.0 + r["qty"] % 20 / 10.0).alias("rating"), r["qty"].cast("long").alias("rating_count"))).alias("apps"))
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from demandscope.operators.rating import with_rating
 from demandscope.operators.scoring import FACTORS, headline_reason
 from demandscope.plans import bindings as B, collect as C, niches as N, rescore as RS
 from demandscope.session import stage, staging_root
-from demandscope.sources import landing, tables
+from demandscope.sources import landing, stores, tables
 from demandscope.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -543,11 +543,51 @@ def app_dimension(spark, sf):
         F.concat(F.lit("genre "), F.col("l_linenumber").cast("string")).alias("primary_genre"),
         F.col("l_shipdate").cast("date").alias("updated_at"), F.col("l_orderkey").alias("order_no"),
         F.col("l_linenumber").alias("line_no"))
-    newest = F.struct("updated_at", "order_no", "line_no", "title")
-    oldest = F.struct("updated_at", "order_no", "line_no", "primary_genre")
-    return seen.groupBy("track_id", "storefront").agg(
-        F.max_by("title", newest).alias("title"), F.min_by("primary_genre", oldest).alias("primary_genre"),
-        F.max("updated_at").alias("updated_at"))
+    early = F.col("order_no") % 2 == 0
+    return stores.merge_items(seen.filter(early), seen.filter(~early), ["updated_at", "order_no", "line_no", "title", "primary_genre"]).select(
+        "track_id", "storefront", "title", "primary_genre", "updated_at")
+
+
+def _snapshot_log(spark, sf):
+    """Yearly snapshots, appended batch by batch, one of them twice, and read back."""
+    root = f"{staging_root(spark)}/demandscope/store-{uuid.uuid4().hex}"
+    history = stage(B.list_history(spark, sf), "history")
+    even = F.year("taken_at") % 2 == 0
+    for batch, rows in (("even", even), ("odd", ~even), ("odd", ~even)):
+        stores.append_batch(history.filter(rows), root, "snapshots", batch)
+    return stores.read_log(spark, root, "snapshots").drop("batch")
+
+
+@query
+def item_store(spark, sf):
+    return stores.items_of(_snapshot_log(spark, sf))
+
+
+@query
+def metric_store(spark, sf):
+    return stores.metrics_of(_snapshot_log(spark, sf))
+
+
+@query
+def score_store(spark, sf):
+    """Rescored keywords appended to the logs of features and scores, and the keyword table that follows."""
+    root = f"{staging_root(spark)}/demandscope/store-{uuid.uuid4().hex}"
+    stores.store_scores(stage(_scored(spark, sf), "rescored"), root, "first", F.lit(B.AS_OF).cast("timestamp"))
+    features = stores.read_log(spark, root, "features").select("term", "storefront", _r6("coherence"))
+    return stores.with_status(B.keywords(spark, sf).select("term", "storefront", "status"), stores.read_log(spark, root, "scores")).join(
+        features, ["term", "storefront"])
+
+
+@query
+def verdict_store(spark, sf):
+    """Verdicts stored twice; of keywords judged again the later one counts."""
+    first = _verdicts(spark, sf).withColumn("judged_at", F.lit(B.AS_OF).cast("timestamp"))
+    again = first.filter(F.length("term") % 2 == 0).withColumns({
+        "category": F.lit("niche"), "judged_at": F.col("judged_at") + F.make_dt_interval(F.length("storefront"))})
+    root = f"{staging_root(spark)}/demandscope/store-{uuid.uuid4().hex}"
+    stores.append_batch(first, root, "verdicts", "first")
+    stores.append_batch(again, root, "verdicts", "again")
+    return stores.newest_verdicts(stores.read_log(spark, root, "verdicts")).select("term", "storefront", "category", "confidence", "note")
 
 
 @query
@@ -615,10 +655,9 @@ def keyword_upsert(spark, sf):
     seen = B.suggestion_rows(spark, sf).select(
         "term", "storefront", F.when(F.col("doc_id") % 2 == 0, "suggest").otherwise("asa").alias("source"),
         F.when(F.col("line") % 4 != 0, F.col("position")).alias("suggest_pos"),
-        F.struct("seen_at", "doc_id", "line").alias("first_seen"), F.struct("seen_at", "doc_id", "line").alias("last_seen"))
-    rows = seen.groupBy("term", "storefront").agg(
-        F.min_by("source", "first_seen").alias("source"), F.min("suggest_pos").alias("suggest_pos"),
-        F.min("first_seen.seen_at").alias("first_seen"), F.max("last_seen.seen_at").alias("last_seen"))
+        F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"), "doc_id", "line")
+    stored = F.col("doc_id") % 3 == 0
+    rows = stores.merge_keywords(seen.filter(stored), seen.filter(~stored), ["last_seen", "doc_id", "line"])
     return rows.select("term", "storefront", "source", "suggest_pos", F.col("first_seen").cast("date").alias("first_seen"),
                        F.col("last_seen").cast("date").alias("last_seen"))
 
@@ -665,11 +704,9 @@ def _fact_rows(spark, sf):
 @query
 def facts_load(spark, sf):
     """Loaded facts move queued and new keywords to the validated status."""
-    loaded = _fact_rows(spark, sf).filter(F.col("popularity") >= 25).select("term", "storefront").distinct().withColumn(
-        "loaded", F.lit(True))
-    moved = F.col("loaded") & F.col("status").isin("queued", "new")
-    return B.keywords(spark, sf).join(loaded, ["term", "storefront"], "left").select(
-        "term", "storefront", F.when(moved, "in_astro").otherwise(F.col("status")).alias("status"))
+    root = f"{staging_root(spark)}/demandscope/store-{uuid.uuid4().hex}"
+    stores.append_batch(_fact_rows(spark, sf), root, "facts", "first")
+    return stores.load_facts(B.keywords(spark, sf), stores.read_log(spark, root, "facts"), 25).select("term", "storefront", "status")
 
 
 @query

@@ -827,6 +827,22 @@ SELECT d.term, d.storefront, d.event_id::VARCHAR AS reason, d.verdict, (
   SELECT arg_max(s.position, (s.seen_at, s.position)) FROM sightings s WHERE s.position <= 6 AND s.term = d.term
     AND s.storefront = d.storefront AND s.seen_at <= d.decided_at)::INT AS position
 FROM decisions d WHERE verdict IN ('go', 'no_go')"""
+_b.CTES["history"] = """
+  SELECT term, storefront, taken_at, l_suppkey AS track_id, qty FROM (
+    SELECT *, row_number() OVER (PARTITION BY term, storefront, taken_at ORDER BY qty DESC, l_suppkey) AS pos FROM (
+      SELECT term, storefront, date_trunc('year', l_shipdate)::DATE AS taken_at, l_suppkey, sum(l_quantity) AS qty
+      FROM lineitem JOIN kw_text ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4)) WHERE pos <= 10 AND l_suppkey <> 0"""
+SQL["item_store"] = """
+SELECT track_id, storefront, 'item of ' || arg_max(term, (taken_at, term)) AS title, 'genre ' || min(taken_at) AS primary_genre,
+  max(taken_at) AS updated_at FROM history GROUP BY 1, 2"""
+SQL["metric_store"] = """
+SELECT track_id, storefront, taken_at AS day, 3.0::DOUBLE + arg_max(qty, term) % 20 / 10.0::DOUBLE AS rating,
+  arg_max(qty, term)::BIGINT AS rating_count FROM history GROUP BY 1, 2, 3"""
+SQL["score_store"] = f"""
+SELECT term, storefront, status_after AS status, CASE WHEN status NOT IN ('in_astro', 'go', 'no_go', 'narrow', 'hold') THEN score END AS score,
+  {_r6('coherence')} FROM scored"""
+SQL["verdict_store"] = """
+SELECT term, storefront, CASE WHEN length(term) % 2 = 0 THEN 'niche' ELSE category END AS category, confidence, note FROM verdicts WHERE accepted"""
 _STORES = ", ".join(f"({i}, '{key}', '{lang}')" for i, (key, lang) in enumerate(STOREFRONTS))
 SQL["storefront_choice"] = f"""
 WITH asked AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 7 <> 0 THEN CASE WHEN c_custkey % 3 = 0

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from demandscope.functions.calendar import completed_months, completed_weeks
 from demandscope.operators import decisions as D, lexicon, proposals as PR, replies as R, series as S
 from demandscope.schemas import METRIC, POPULARITY, RAW_APP
-from demandscope.sources import landing, tables
+from demandscope.plans import collect
+from demandscope.sources import landing, stores, tables
 from demandscope.streaming import ingest
 
 DAY = date(2024, 3, 1)
@@ -236,3 +237,36 @@ def test_batch_that_dies_during_the_overwrite_loses_nothing(spark, tmp_path, mon
     run()
     assert {(r.term, r.rank_in_genre) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 9), ("b", 2), ("c", 3), ("d", 4)}
     assert [p.name for p in (tmp_path / "check-upserts").iterdir()] == ["batch-1"]
+
+
+def test_stores_follow_from_their_logs(spark, tmp_path):
+    shape = "term string, storefront string, taken_at timestamp, apps array<struct<track_id: bigint, title: string, primary_genre: string, rating: double, rating_count: bigint>>"
+    snaps = [("a", "us", NOW, [(1, "old", "g1", 4.0, 10), (None, "x", "y", 1.0, 1), (0, "x", "y", 1.0, 1)]),
+             ("b", "us", NOW, [(1, "mid", "g2", 4.1, 11)]), ("a", "us", NOW + timedelta(days=1), [(1, "new", "g3", 4.2, 12)])]
+    for batch, rows in (("1", snaps[:2]), ("2", snaps[2:]), ("2", snaps[2:])):  # a batch that is written again changes nothing
+        stores.append_batch(spark.createDataFrame(rows, shape), str(tmp_path), "snapshots", batch)
+    log = stores.read_log(spark, str(tmp_path), "snapshots").drop("batch")
+    assert log.count() == 3
+    assert [tuple(r) for r in stores.items_of(log).select("track_id", "title", "primary_genre", "updated_at").collect()] == [
+        (1, "new", "g1", NOW + timedelta(days=1))]
+    assert {(r.day, r.rating_count) for r in stores.metrics_of(log).collect()} == {(DAY, 11), (DAY + timedelta(days=1), 12)}
+    keywords = spark.createDataFrame([("a", "us", "new"), ("b", "us", "go"), ("c", "us", "queued")], "term string, storefront string, status string")
+    scores = spark.createDataFrame([("a", "us", NOW, 1.0, "rejected"), ("a", "us", NOW + timedelta(1), 2.0, "queued"), ("b", "us", NOW, 3.0, "queued")],
+                                   "term string, storefront string, scored_at timestamp, score double, verdict string")
+    assert {(r.term, r.status, r.score) for r in stores.with_status(keywords, scores).collect()} == {
+        ("a", "queued", 2.0), ("b", "go", 3.0), ("c", "queued", None)}
+
+
+def test_collection_pass_counts(spark):
+    rows = [("scan", t, n, "us", NOW) for n, t in enumerate(("scan pdf", "scan pdfs", "scan google maps", "scan card"), 1)]
+    df = spark.createDataFrame(rows, "prefix string, term string, position int, storefront string, seen_at timestamp")
+    ledger = spark.createDataFrame([("card", "us")], "prefix string, storefront string")
+    app = ("track_id bigint, title string, subtitle string, seller string, primary_genre string, genres array<string>, rating double, "
+           "rating_count bigint, price double, is_paid boolean, is_monetized boolean, days_since_update int, age_days int, languages array<string>")
+    shelf = spark.createDataFrame([("scan pdf", [(1, "Scan PDF files", "", "S", "Work", ["Work"], 4.0, 5000, 0.0, False, False, 900, 900, ["EN"])])],
+                                  f"term string, apps array<struct<{app.replace(' ', ': ').replace(':  ', ' ').replace(',: ', ', ')}>>")
+    scored, counters = collect.collection_pass(df, ledger, lambda heads: heads.select("term", "storefront", F.lit("en").alias("lang")).join(shelf, "term"), 60)
+    got = {r.counter: r.n for r in counters.collect()}
+    assert [r.term for r in scored.collect()] == ["scan pdf"]
+    assert (got["suggestions"], got["after_dedup"], got["empty_serp"] + got.get("brand", 0)) == (4, 3, 2)
+    assert got["new_probes"] == 1 and sum(got.get(v, 0) for v in ("queued", "watchlist", "rejected")) == 1  # pdf, twice
