@@ -374,8 +374,8 @@ def proposal_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposed queries: keywords of other storefronts and suggestion prefixes, as pending."""
-    return suggestion_rows(spark, sf_dir).filter(F.col("line") == 0).groupBy(
+    """Suggested terms as proposed queries, all pending."""
+    return suggestion_rows(spark, sf_dir).groupBy(
         F.col("term").alias("query"), "storefront").agg(F.min("doc_id").alias("first_doc")).select(
         "query", "storefront", F.lit("seed").alias("source_term"),
         F.lit(date(2024, 2, 1)).cast("timestamp").alias("proposed_at"), F.lit("pending").alias("status"), "first_doc")

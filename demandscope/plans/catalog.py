@@ -229,10 +229,10 @@ def descriptor_tails(spark, sf):
     """Titles as branded terms; the tail, and the first title it came from."""
     named = B.table(spark, sf, "pages").select(
         "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")).withColumn(
-        "term", F.lower(F.concat(F.substring_index("title", " ", 2),
+        "term", F.lower(F.concat(F.array_join(F.slice(F.split("title", " "), 1, 2), " "),
                                  F.element_at(F.array(*[F.lit(s) for s in (" - ", ": ", " – ", ", ", " ")]),
                                               (F.col("page_id") % 5 + 1).cast("int")),
-                                 F.substring_index("title", " ", -3))))
+                                 F.array_join(F.slice(F.split("title", " "), F.lit(3), F.size(F.split("title", " "))), " "))))
     return named.withColumn("tail", descriptor_tail(F.col("term"))).filter(F.col("tail").isNotNull()).groupBy(
         "tail").agg(F.min_by("term", F.struct("page_id", "term")).alias("origin"), F.count("*").alias("n"))
 
@@ -335,29 +335,27 @@ def probe_ledger(spark, sf):
         "prefix", "storefront", F.col("probed_at").cast("date").alias("probed_on"), "yield_count")
 
 
-def _english(spark, sf):
-    rows = B.suggestions(spark, sf).filter(F.col("storefront") == "en")
-    # long prefixes stand for harvested objects that were not probed
-    ledger = lexicon.probe_ledger(rows).filter(F.length("prefix") <= 8).select("prefix", "probed_at", "yield_count")
-    objects = lexicon.token_frequency(rows).select("token", "n")
-    return ledger, objects
+def _frontier(spark, sf):
+    """Ledger and objects of all suggestions, as those of one storefront."""
+    rows = B.suggestions(spark, sf).withColumn("storefront", F.lit("all"))
+    return lexicon.probe_ledger(rows).select("prefix", "probed_at", "yield_count"), lexicon.token_frequency(rows).select("token", "n")
 
 
 @query
 def frontier_top(spark, sf):
-    ledger, objects = _english(spark, sf)
+    ledger, objects = _frontier(spark, sf)
     return lexicon.next_probes(objects, ledger, 50)
 
 
 @query
 def stalest_prefixes(spark, sf):
-    ledger, _ = _english(spark, sf)
+    ledger, _ = _frontier(spark, sf)
     return lexicon.stalest(ledger, F.lit(date(2024, 2, 15)).cast("timestamp"), 30).select("prefix")
 
 
 @query
 def plan_roots(spark, sf):
-    ledger, objects = _english(spark, sf)
+    ledger, objects = _frontier(spark, sf)
     return lexicon.plan_roots(ledger, _evidence(spark, sf), objects, F.lit(date(2024, 4, 15)).cast("timestamp"), 120)
 
 
@@ -973,20 +971,20 @@ def weekly_niches(spark, sf):
     return N.weekly_niches(_table(spark, sf), 30).select("term", "storefront", "stars", "score", "route")
 
 
-def _evidence(spark, sf):
+def _niche_evidence(spark, sf):
     return N.with_trend(_table(spark, sf), S.demand_trend(B.sightings(spark, sf)), S.traffic_trend(B.metrics(spark, sf)))
 
 
 @query
 def niche_evidence(spark, sf):
     """The trend arrow, the headline reason and the missing signals of every shown niche."""
-    return _evidence(spark, sf).select("term", "storefront", "trend", "why", "missing")
+    return _niche_evidence(spark, sf).select("term", "storefront", "trend", "why", "missing")
 
 
 @query
 def weekly_report(spark, sf):
     alerts = S.decay_alerts(B.metrics(spark, sf), B.item_titles(spark, sf), F.lit(B.EVENTS_AS_OF), days=20, min_drop=0.1)
-    return N.weekly_report(_evidence(spark, sf), alerts)
+    return N.weekly_report(_niche_evidence(spark, sf), alerts)
 
 
 @query

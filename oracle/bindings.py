@@ -129,7 +129,7 @@ CTES["ideas"] = f"""
         WHERE len({toks('query')}) >= 2 AND length(query) <= 60 GROUP BY 1, 2)
   QUALIFY place <= 8"""
 CTES["proposals"] = """
-  SELECT term AS query, storefront, min(doc_id) AS first_doc FROM sugg_rows WHERE line = 0 GROUP BY 1, 2"""
+  SELECT term AS query, storefront, min(doc_id) AS first_doc FROM sugg_rows GROUP BY 1, 2"""
 
 
 def with_ctes(body: str) -> str:

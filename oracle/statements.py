@@ -153,7 +153,7 @@ def _tails(source: str) -> str:
 SQL["descriptor_tails"] = f"""
 SELECT tail, arg_min(term, page_id) AS origin, count(*) AS n FROM ({_tails('''
   SELECT page_id, lower(array_to_string(string_split(title, ' ')[1:2], ' ')
-    || [' - ', ': ', ' – ', ', ', ' '][page_id % 5 + 1] || array_to_string(string_split(title, ' ')[-3:], ' ')) AS term
+    || [' - ', ': ', ' – ', ', ', ' '][page_id % 5 + 1] || array_to_string(string_split(title, ' ')[3:], ' ')) AS term
   FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)''')}) GROUP BY 1"""
 SQL["tail_candidates"] = f"""
 SELECT tail, 'us' AS country, min(term) AS origin FROM ({_tails("SELECT lower(title) AS term FROM items")})
@@ -217,9 +217,9 @@ SQL["probe_ledger"] = """
 SELECT prefix, storefront, max(seen_at)::DATE AS probed_on, count(DISTINCT term) AS yield_count FROM sugg_rows s
 WHERE seen_at = (SELECT max(seen_at) FROM sugg_rows t WHERE t.prefix = s.prefix AND t.storefront = s.storefront)
 GROUP BY 1, 2"""
-_LEDGER = "(SELECT prefix, max(seen_at) AS probed_at FROM sugg_rows WHERE storefront = 'en' AND length(prefix) <= 8 GROUP BY 1)"
+_LEDGER = "(SELECT prefix, max(seen_at) AS probed_at FROM sugg_rows GROUP BY 1)"
 _FRONTIER = f"""
-  SELECT token, n FROM ({_frequency("storefront = 'en'")}) WHERE n >= 2 AND token NOT IN {S.BROAD} AND token NOT IN {S.STOP}
+  SELECT token, n FROM (SELECT token, sum(n)::BIGINT AS n FROM ({_frequency()}) GROUP BY 1) WHERE n >= 2 AND token NOT IN {S.BROAD} AND token NOT IN {S.STOP}
     AND token NOT IN (SELECT prefix FROM {_LEDGER})"""
 SQL["frontier_top"] = f"{_FRONTIER} ORDER BY n DESC, token LIMIT 50"
 SQL["stalest_prefixes"] = f"""
