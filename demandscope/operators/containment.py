@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from demandscope.operators.ranking import rank_within
 from demandscope.operators.series import newest_rows
 from demandscope.session import stage
 
@@ -39,15 +40,18 @@ def holding_words(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def first_containing(wanted: DataFrame, texts: DataFrame, text: str, order: list[str], limit: int) -> DataFrame:
-    """(storefront, token, ``order``): for each ``token`` (no spaces in it) the first ``limit`` texts with it somewhere.
+    """(storefront, token, ``order``, place): for each ``token`` (no spaces in it) the first ``limit`` texts with it somewhere.
 
     ``texts`` has one row per (storefront, ``text``), compared in lower case; ``order`` names columns that sort them, the
     text itself last. Each word keeps only its first ``limit`` texts, which suffices: a text that is among the first of a
     token is among the first of the word that holds the token. So what meets a token is ``limit`` rows for each such word.
+    Texts are numbered in their order first, so only numbers are joined and compared.
     """
-    parts = texts.select("storefront", *order, F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("word"))
+    numbered = stage(rank_within(texts.select("storefront", *order), ["storefront"], [F.asc(c) for c in order], "_number"), "numbered-texts")
+    parts = numbered.select("storefront", "_number", F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("word"))
     words = stage(holding_words(wanted, parts.select("storefront", "word").distinct()), "holding-words")
     listed = parts.join(words.select("storefront", "word").distinct(), ["storefront", "word"], "left_semi")
-    ahead = newest_rows(listed, ["storefront", "word"], [F.asc(c) for c in order], limit).drop("_place")
-    united = ahead.join(words, ["storefront", "word"]).select("storefront", "token", *order).distinct()
-    return newest_rows(united, ["storefront", "token"], [F.asc(c) for c in order], limit).withColumnRenamed("_place", "place")
+    ahead = newest_rows(listed, ["storefront", "word"], [F.asc("_number")], limit).drop("_place")
+    united = ahead.join(words, ["storefront", "word"]).select("storefront", "token", "_number").distinct()
+    first = newest_rows(united, ["storefront", "token"], [F.asc("_number")], limit)
+    return first.join(numbered, ["storefront", "_number"]).select("storefront", "token", *order, F.col("_place").alias("place"))
