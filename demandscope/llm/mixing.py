@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandscope.functions.text import let
 from demandscope.session import stage
 
 BLOCK_CHARS = 1 << 16
@@ -47,23 +48,25 @@ def default_weights(rows: DataFrame, period: int = PERIOD, temperature: float =
 
 
 def _edf(weights: Column, period: Column) -> Column:
-    """The source picked in each slot of a period: earliest deadline first among the released, ties by place."""
-    places = F.sequence(F.lit(0), F.size(weights) - 1)
+    """The source picked in each slot of a period: earliest deadline first among the released, ties by place.
 
-    def pick(done: Column, slot: Column) -> Column:
-        deadlines = F.transform(places, lambda s: F.when(
-            F.floor(F.get(done, s) * period / F.get(weights, s)) <= slot,
-            F.struct(F.ceil((F.get(done, s) + 1) * period / F.get(weights, s)).alias("due"), s.alias("place"))))
-        return F.array_min(F.array_compact(deadlines))["place"]
+    The state holds the next block of each source. A slot looks at each source once, so a period takes
+    (sources x period) steps.
+    """
+    def block(place: Column, number: Column) -> Column:
+        weight = F.get(weights, place)
+        return F.struct(F.ceil((number + 1) * period / weight).alias("due"), place.alias("place"),
+                        F.floor(number * period / weight).alias("release"), number.alias("number"))
 
     def step(state: Column, slot: Column) -> Column:
-        chosen = pick(state["done"], slot)
-        return F.struct(
-            F.transform(state["done"], lambda n, s: n + (s == chosen).cast("long")).alias("done"),
-            F.concat(state["picked"], F.array(chosen)).alias("picked"))
-
-    start = F.struct(F.transform(weights, lambda _: F.lit(0).cast("long")).alias("done"),
-                     F.array().cast("array<int>").alias("picked"))
+        pick = F.array_min(F.filter(state["next"], lambda b: b["release"] <= slot))["place"]
+        return let(pick, lambda chosen: F.struct(
+            F.transform(state["next"], lambda b: F.when(b["place"] == chosen, block(b["place"], b["number"] + 1)).otherwise(b)).alias("next"),
+            F.concat(state["picked"], F.array(chosen)).alias("picked")))
+
+    start = F.struct(
+        F.transform(F.sequence(F.lit(0), F.size(weights) - 1), lambda place: block(place, F.lit(0).cast("long"))).alias("next"),
+        F.array().cast("array<int>").alias("picked"))
     return F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), start, step)["picked"]
 
 

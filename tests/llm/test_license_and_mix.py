@@ -90,3 +90,17 @@ def test_mix_of_odd_rows(spark):
     assert out.columns == frame(spark, rows).columns
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, frame(spark, rows).collect()), key=repr)
     assert mixing.mix(frame(spark, rows).limit(0)).count() == 0 and mixing.mixed(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("n", "weight"), [(1, lambda i: 4), (13, lambda i: i * 7 + 3), (400, lambda i: 1 + i % 3)])
+def test_schedule_is_earliest_deadline_first(spark, n, weight):
+    """Also of hundreds of sources, whose period is as long as there are sources at least."""
+    weights = [(f"s{i:04}", weight(i)) for i in range(n)]
+    period = sum(w for _, w in weights)
+    done, slots = [0] * n, {s: [] for s, _ in weights}
+    for slot in range(period):
+        _, i = min((-(-(done[i] + 1) * period // w), i) for i, (_, w) in enumerate(weights) if done[i] * period // w <= slot)
+        slots[weights[i][0]].append(slot)
+        done[i] += 1
+    got = mixing.schedule(spark.createDataFrame(weights, "source string, weight long")).collect()
+    assert {r.source: r.slots for r in got} == slots
