@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from demandscope.operators.ranking import rank_within
 from demandscope.operators.series import newest_rows
-from demandscope.session import stage
+from demandscope.session import Staged, stage
 
-GRAM = 3  # letters by which tokens and words meet
+GRAM = 3   # letters by which tokens and words meet
+HEAD = 64  # texts that a token meets first, for each text wanted
 
 
 def _grams(word: str, k: int):
@@ -39,19 +42,39 @@ def holding_words(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "storefront", "word", "token")
 
 
-def first_containing(wanted: DataFrame, texts: DataFrame, text: str, order: list[str], limit: int) -> DataFrame:
-    """(storefront, token, ``order``, place): for each ``token`` (no spaces in it) the first ``limit`` texts with it somewhere.
+def _first_of(tokens: DataFrame, numbered: DataFrame, text: str, limit: int) -> DataFrame:
+    """(storefront, token, _number, _place): the first ``limit`` of the numbered texts for each token.
 
-    ``texts`` has one row per (storefront, ``text``), compared in lower case; ``order`` names columns that sort them, the
-    text itself last. Each word keeps only its first ``limit`` texts, which suffices: a text that is among the first of a
-    token is among the first of the word that holds the token. So what meets a token is ``limit`` rows for each such word.
-    Texts are numbered in their order first, so only numbers are joined and compared.
+    Each word keeps only its first ``limit`` texts, which suffices: a text that is among the first of a token is among
+    the first of the word that holds the token. So what meets a token is ``limit`` rows for each such word.
     """
-    numbered = stage(rank_within(texts.select("storefront", *order), ["storefront"], [F.asc(c) for c in order], "_number"), "numbered-texts")
     parts = numbered.select("storefront", "_number", F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("word"))
-    words = stage(holding_words(wanted, parts.select("storefront", "word").distinct()), "holding-words")
+    words = stage(holding_words(tokens, parts.select("storefront", "word").distinct()), "holding-words")
     listed = parts.join(words.select("storefront", "word").distinct(), ["storefront", "word"], "left_semi")
     ahead = newest_rows(listed, ["storefront", "word"], [F.asc("_number")], limit).drop("_place")
     united = ahead.join(words, ["storefront", "word"]).select("storefront", "token", "_number").distinct()
-    first = newest_rows(united, ["storefront", "token"], [F.asc("_number")], limit)
-    return first.join(numbered, ["storefront", "_number"]).select("storefront", "token", *order, F.col("_place").alias("place"))
+    return newest_rows(united, ["storefront", "token"], [F.asc("_number")], limit)
+
+
+def first_containing(wanted: DataFrame, texts: DataFrame, text: str, order: list[str], limit: int,
+                     head: int = HEAD) -> DataFrame:
+    """(storefront, token, ``order``, place): for each ``token`` (no spaces in it) the first ``limit`` texts with it somewhere.
+
+    ``texts`` has one row per (storefront, ``text``), compared in lower case; ``order`` names columns that sort them, the
+    text itself last. Texts are numbered in their order first, so only numbers are joined and compared. A token is looked
+    for in the first ``head * limit`` texts, then in ``head`` times as many, at last in all; it is done as soon as it has
+    ``limit`` texts. So a token that most words hold meets the words of a few texts, and what goes on to more texts is rare.
+    """
+    ranked = rank_within(texts.select("storefront", *order), ["storefront"], [F.asc(c) for c in order], "_number")
+    numbered = Staged(ranked, "numbered-texts", last=F.max("_number"))
+    left = stage(wanted.select("storefront", "token").distinct(), "tokens")
+    first, reach = [], head * limit
+    while reach < (numbered.metrics["last"] or 0):
+        hits = stage(_first_of(left, numbered.df.filter(F.col("_number") <= reach), text, limit), "first-texts")
+        done = hits.filter(F.col("_place") == limit).select("storefront", "token")
+        first.append(hits.join(done, ["storefront", "token"], "left_semi"))
+        left = stage(left.join(done, ["storefront", "token"], "left_anti"), "tokens")
+        reach *= head
+    first.append(_first_of(left, numbered.df, text, limit))
+    return reduce(DataFrame.unionByName, first).join(numbered.df, ["storefront", "_number"]).select(
+        "storefront", "token", *order, F.col("_place").alias("place"))

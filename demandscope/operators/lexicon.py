@@ -176,9 +176,10 @@ def metadata_tokens(lists: DataFrame) -> DataFrame:
 
 def related_suggestions(terms: DataFrame, suggestions: DataFrame, limit: int = 30) -> DataFrame:
     """Suggestions containing a term's first token, best places first."""
-    wanted = terms.select("storefront", F.lower(F.try_element_at(tokens(F.col("term")), F.lit(1))).alias("token")) \
-        .filter(F.col("token").isNotNull()).distinct()
-    best = stage(suggestions.groupBy("storefront", F.col("term").alias("suggestion")).agg(
+    wanted = stage(terms.select("storefront", F.lower(F.try_element_at(tokens(F.col("term")), F.lit(1))).alias("token"))
+                   .filter(F.col("token").isNotNull()).distinct(), "wanted")
+    asked = suggestions.join(wanted.select("storefront").distinct(), "storefront", "left_semi")
+    best = stage(asked.groupBy("storefront", F.col("term").alias("suggestion")).agg(
         F.min("position").alias("position")), "suggestions")
     return first_containing(wanted, best, "suggestion", ["position", "suggestion"], limit).select(
         "storefront", "token", "suggestion", "position", "place")
