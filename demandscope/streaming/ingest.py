@@ -19,6 +19,14 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """Stream the table ``name``, which is one file or a folder of part files.
+
+    A streamed path must be a folder or a glob, so the name is written as a glob that only it matches.
+    """
+    return file_stream(spark, f"{folder}/{{{name}}}.parquet", schema, "*")
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str, *partition_by: str) -> StreamingQuery:
     """Land rows in an append-only table."""
     return (

@@ -209,6 +209,24 @@ def test_popularity_stream_is_idempotent(spark, tmp_path):
     assert {(r.term, r.rank_in_genre) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 2), ("b", 5)}
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_reads_a_table_of_one_file_or_of_many(spark, tmp_path, parts):
+    rows = spark.range(10)
+    rows.repartition(parts).write.parquet(str(tmp_path / "parts"))
+    files = sorted((tmp_path / "parts").glob("part-*.parquet"))
+    table = tmp_path / "in" / "documents.parquet"
+    if parts == 1:
+        table.parent.mkdir()
+        shutil.copy(files[0], table)
+    else:
+        shutil.copytree(tmp_path / "parts", table)
+    (tmp_path / "in" / "labels.parquet").mkdir()
+    shutil.copy(files[0], tmp_path / "in" / "labels.parquet" / "part-0.parquet")
+    stream = ingest.table_stream(spark, str(tmp_path / "in"), "documents", rows.schema)
+    ingest.append_stream(stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(10))
+
+
 def test_batch_that_dies_during_the_overwrite_loses_nothing(spark, tmp_path, monkeypatch):
     """The second batch deletes the stored partition and dies before it is written again."""
     def land(rows):
