@@ -47,6 +47,17 @@ def test_clusters_equal_brute_force(spark, seed, hub_share, hot_degree):
     assert got == expected
 
 
+def test_exploded_sides_are_not_broadcast(spark):
+    """Their files are small, but the rows made of them need not fit the driver."""
+    table = lists_of(spark, random_lists(7, 30, 20, 0.4))
+    terms = table.select("storefront", "term")
+    for rows in (variants.fuzzy_pairs(terms), variants.variant_heads(terms), overlap.overlap_pairs(table),
+                 overlap.cluster_links(table, hot_degree=3)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "Join" not in plan
+        assert "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_pairs_equal_brute_force(spark, seed):
     table = random_lists(seed, 80, 40, 0.4)
