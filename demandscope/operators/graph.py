@@ -44,7 +44,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select("storefront", F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy("storefront", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
-        both.filter(F.col("v") > F.col("u")).join(lowest, ["storefront", "u"])
+        both.filter(F.col("v") > F.col("u")).join(lowest.hint("merge"), ["storefront", "u"])
         .select("storefront", F.col("v").alias("u"), F.col("m").alias("v"))
     )
 
@@ -53,7 +53,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are attached to the smallest of them."""
     down = edges.select("storefront", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     lowest = down.groupBy("storefront", "u").agg(F.min("v").alias("m"))
-    moved = down.join(lowest, ["storefront", "u"]).select("storefront", F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(lowest.hint("merge"), ["storefront", "u"]).select("storefront", F.col("v").alias("u"), F.col("m").alias("v"))
     kept = lowest.select("storefront", "u", F.col("m").alias("v"))
     return moved.unionByName(kept).filter(F.col("u") != F.col("v")).distinct()
 
@@ -66,7 +66,7 @@ def cluster_members(lists: DataFrame, hot_degree: int = 200) -> DataFrame:
     """
     linked = components(cluster_links(lists, hot_degree=hot_degree))
     return (
-        lists.select(*NODE).join(linked, NODE, "left")
+        lists.select(*NODE).join(linked.hint("merge"), NODE, "left")
         .select(*NODE, F.coalesce("root", "term").alias("cluster_id"))
     )
 
@@ -76,7 +76,7 @@ def cluster_heads(members: DataFrame, lists: DataFrame) -> DataFrame:
     width = lists.select(*NODE, F.size(fingerprint(F.col("apps"))).alias("width"))
     rank = F.struct(
         (~eligible_head(F.col("term"))).alias("broad"), (-F.col("width")).alias("width"), F.col("term"))
-    return members.join(width, NODE).groupBy("storefront", "cluster_id").agg(
+    return members.join(width.hint("merge"), NODE).groupBy("storefront", "cluster_id").agg(
         F.count("*").alias("n_members"), F.min(rank).alias("_h")).select(
         "storefront", "cluster_id", F.col("_h.term").alias("head"), "n_members")
 
@@ -84,7 +84,7 @@ def cluster_heads(members: DataFrame, lists: DataFrame) -> DataFrame:
 def cluster_items(members: DataFrame, lists: DataFrame) -> DataFrame:
     """The union of the fingerprints of each cluster, one row per item."""
     items = lists.select(*NODE, F.explode(fingerprint(F.col("apps"))).alias("item"))
-    return members.join(items, NODE).select("storefront", "cluster_id", "item").distinct()
+    return members.join(items.hint("merge"), NODE).select("storefront", "cluster_id", "item").distinct()
 
 
 def niche_heads(members: DataFrame, scores: DataFrame) -> DataFrame:

@@ -55,10 +55,10 @@ def _ranked_items(prints: DataFrame) -> DataFrame:
     long = prints.select(*NODE, F.explode("items").alias("item"))
     degrees = long.groupBy("storefront", "item").agg(F.count("*").alias("degree"))
     placed = (
-        long.join(degrees, ["storefront", "item"])
+        long.join(degrees.hint("merge"), ["storefront", "item"])
         .groupBy(*NODE).agg(F.array_sort(F.collect_list(F.struct("degree", "item"))).alias("ranked"))
     )
-    return prints.join(placed, NODE)
+    return prints.join(placed.hint("merge"), NODE)
 
 
 def _sizes(prints: DataFrame) -> DataFrame:
@@ -91,8 +91,9 @@ def _candidates(ranked: DataFrame, overlap: float, same_leader: bool, max_degree
     """Pairs that reach ``overlap``, found through their rarest items; ``ranked`` lists have the sizes of their storefront."""
     small, large = _prefix_rows(ranked, overlap, same_leader, max_degree)
     common = F.size(F.array_intersect("items_small", "items_large"))
+    # both sides are many times their file, by whose size Spark would broadcast them
     return (
-        small.join(large, ["storefront", "item", "m"] + (["leader"] if same_leader else []))
+        small.join(large.hint("merge"), ["storefront", "item", "m"] + (["leader"] if same_leader else []))
         .filter((F.col("size_large") > F.col("m")) | (F.col("small") < F.col("large")))
         .filter(common >= needed(F.col("m"), overlap))
         .select("storefront", F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"),
@@ -116,7 +117,7 @@ def _fold(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     folded = stage(_ranked_items(distinct).join(_sizes(distinct), "storefront"), "ranked-lists")
     copies = (
         prints.select(*same, F.col("term").alias("b"), "size")
-        .join(folded.select(*same, F.col("term").alias("a")), same).filter(F.col("a") != F.col("b"))
+        .join(folded.select(*same, F.col("term").alias("a")).hint("merge"), same).filter(F.col("a") != F.col("b"))
         .select("storefront", "a", "b", "size", (F.col("lead_key") != "").alias("led"))
     )
     return folded, copies
@@ -168,7 +169,7 @@ def _subset_links(folded: DataFrame, hot_degree: int, overlap: float, same_leade
     keyed = crowd.select("storefront", "term", "size", "leader", F.explode(subsets).alias("s")).select(
         "storefront", "term", "size", "leader", F.col("s.m").alias("m"), F.col("s.items").alias("subset"))
     anchors = keyed.filter(F.col("size") == F.col("m")).groupBy(*keys).agg(F.min("term").alias("a"))
-    return keyed.join(anchors, keys).filter(F.col("term") != F.col("a")).select(
+    return keyed.join(anchors.hint("merge"), keys).filter(F.col("term") != F.col("a")).select(
         "storefront", "a", F.col("term").alias("b")).distinct()
 
 
