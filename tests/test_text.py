@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from demandscope.functions import text as X
 from demandscope.functions.similarity import brand_signal, name_match, ratio_at_least, token_set_ratio
+from demandscope.operators import lexicon
 from tests.brute import close
 
 
@@ -80,3 +81,14 @@ def test_token_set_ratio(spark):
     got = column(spark, rows, token_set_ratio(F.col("a"), F.col("b")))
     assert got[0] == 100 and got[2] == 0 and got[3] == 0
     assert 40 < got[1] < 70
+
+
+def test_metadata_tokens_of_an_item_in_many_lists(spark):
+    apps = "array<struct<title: string, subtitle: string>>"
+    item = ("Red Rings: (Red)", "boxes & the x")
+    lists = spark.createDataFrame([("a", "us", [item, item, (None, "Boxes!")]), ("b", "us", [item]), ("c", "us", [(None, None)])],
+                                  f"term string, storefront string, apps {apps}")
+    got = {(r.term, r.token): r.n for r in lexicon.metadata_tokens(lists).collect()}
+    assert got == {("a", "red"): 4, ("a", "ring"): 2, ("a", "box"): 3, ("b", "red"): 2, ("b", "ring"): 1, ("b", "box"): 1}
+    plan = lexicon.metadata_tokens(lists)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 3  # not once for each rule
