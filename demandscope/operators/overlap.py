@@ -51,12 +51,13 @@ def _needed(size: int, overlap: float) -> int:
 
 
 def _ranked_items(prints: DataFrame) -> DataFrame:
-    """Each list with its items ordered from the rarest in the storefront to the commonest."""
-    long = prints.select(*NODE, F.explode("items").alias("item"))
-    degrees = long.groupBy("storefront", "item").agg(F.count("*").alias("degree"))
+    """Each list with its items ordered from the rarest in the storefront to the commonest; ``met`` has a bit for each size of the lists with the item."""
+    long = prints.select(*NODE, "size", F.explode("items").alias("item"))
+    degrees = long.groupBy("storefront", "item").agg(
+        F.count("*").alias("degree"), F.expr("bit_or(shiftleft(1, size))").alias("met"))
     placed = (
         long.join(degrees.hint("merge"), ["storefront", "item"])
-        .groupBy(*NODE).agg(F.array_sort(F.collect_list(F.struct("degree", "item"))).alias("ranked"))
+        .groupBy(*NODE).agg(F.array_sort(F.collect_list(F.struct("degree", "item", "met"))).alias("ranked"))
     )
     return prints.join(placed.hint("merge"), NODE)
 
@@ -71,7 +72,7 @@ def _prefix_rows(ranked: DataFrame, overlap: float, same_leader: bool, max_degre
 
     With c shared items needed, the first size - c + 1 items of both lists (in one global order, the rarest first) have
     one in common. As c depends on the smaller size m, a list sends m with each item, and only the items that it
-    needs for this m.
+    needs for this m. An item of one list only, or of no list of size m, meets nothing and is not sent.
     """
     leader = ["leader"] if same_leader else []
 
@@ -80,6 +81,7 @@ def _prefix_rows(ranked: DataFrame, overlap: float, same_leader: bool, max_degre
                              F.col("size").alias(f"size_{name}"), "ranked", m.alias("m")).select(
             "storefront", *leader, name, f"items_{name}", f"size_{name}", "m", F.explode(F.slice(
                 "ranked", F.lit(1), F.col(f"size_{name}") - needed(F.col("m"), overlap) + 1)).alias("entry"))
+        side = side.filter((F.col("entry.degree") > 1) & F.expr("entry.met & shiftleft(1, m) != 0"))
         if max_degree is not None:
             side = side.filter(F.col("entry.degree") <= max_degree)
         return side.withColumn("item", F.col("entry.item")).drop("entry")

@@ -58,6 +58,16 @@ def test_exploded_sides_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in plan
 
 
+def test_items_that_meet_nothing_are_not_sent(spark):
+    """Ten items, five of them in no other list; the one short list has other items."""
+    table = {("us", "long a"): [1, 2, 3, 4, 5, 11, 12, 13, 14, 15], ("us", "long b"): [1, 2, 3, 4, 5, 21, 22, 23, 24, 25],
+             ("us", "short c"): [31], ("us", "short d"): [5, 32]}
+    folded, _ = overlap._fold(lists_of(spark, table))
+    small, large = overlap._prefix_rows(folded, 0.6, False, None)
+    assert {r.item for r in small.collect()} | {r.item for r in large.collect()} <= {1, 2, 3, 4, 5}
+    assert not large.filter("m < 10").count()  # the short lists' first items are in no other list
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_pairs_equal_brute_force(spark, seed):
     table = random_lists(seed, 80, 40, 0.4)
