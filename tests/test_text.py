@@ -92,3 +92,29 @@ def test_metadata_tokens_of_an_item_in_many_lists(spark):
     assert got == {("a", "red"): 4, ("a", "ring"): 2, ("a", "box"): 3, ("b", "red"): 2, ("b", "ring"): 1, ("b", "box"): 1}
     plan = lexicon.metadata_tokens(lists)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 3  # not once for each rule
+
+
+def test_odd_characters_are_the_same_as_by_a_negated_class(spark):
+    rows = spark.createDataFrame([(f"Ab {n} {chr(n)}{chr(n)}S'-+& {chr(n)}x",) for n in [*range(0x3000), 0xFFFD, 0x1F600]], "text string")
+    term = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9\-+&']+", " "))
+    text = F.col("text")
+    old = rows.select("text", term(text), F.regexp_replace(F.lower(text), "[^a-z0-9]", ""), F.transform(F.split(text, "\n"), term))
+    new = rows.select("text", X.normalize_term(text), X.flat(text), F.transform(X.normalized_lines(text), lambda x: F.trim(x)))
+    assert old.exceptAll(new).count() == new.exceptAll(old).count() == 0
+
+
+def test_normalisation_has_no_negated_class(spark):
+    """Java takes about 18 times as long for it; texts are normalised once, whatever is done with the lines."""
+    from demandscope.plans import bindings
+    plan = bindings.suggestions(spark, "/root/testdata/sf0.001").filter(F.col("prefix") != "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^" not in plan and plan.count("regexp_replace") == 1
+
+
+def test_words_of_a_line_are_cut_once_for_its_verb(spark):
+    df = spark.createDataFrame([("us", "scans pdf"), ("us", " scans  file"), ("us", "scans"), ("us", None)], "storefront string, term string")
+    found = lexicon.discover_verbs(df, min_distinct=2)
+    assert [tuple(r) for r in found.collect()] == []  # scan is a seed
+    found = lexicon.discover_verbs(df.withColumn("term", F.replace("term", F.lit("scan"), F.lit("juggle"))), min_distinct=2)
+    assert [tuple(r) for r in found.collect()] == [("us", "juggle", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and "split(" not in plan
