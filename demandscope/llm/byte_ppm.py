@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandscope.llm.common import id_and_text, once, ship
+from demandscope.llm.common import id_and_text, lean, once, ship
 from demandscope.llm.words import BLOCK_BYTES, raw_bytes, slices, spans_hash
 from demandscope.session import stage
 
@@ -38,7 +38,7 @@ _RENDERED[0x41:0x5B] += 0x20
 _RENDERED[0x09:0x0E] = SPACE
 _RENDERED[[PAD, END]] = OTHER
 END_TOKEN = -1  # keys of windows are not negative, those of words are below this
-MERGE_KEYS = 4 << 20
+MERGE_KEYS = 1 << 20  # new keys that a task holds before it merges them
 ROWS = 100_000
 
 
@@ -147,7 +147,7 @@ def gathered(rows: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
         T.StructField("ids", T.ArrayType(id_type))] + [T.StructField(x, T.BinaryType()) for x in ("sizes", "learn", "blob")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size, held = TaskContext.get().partitionId() << 24, 0, []
+        chunk, size, held, kept = TaskContext.get().partitionId() << 24, 0, [], 0
         pack = zstandard.ZstdCompressor(level=1)
         ids_type = None
 
@@ -180,15 +180,16 @@ def gathered(rows: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
                 place, keys = word_keys(body)
                 held.append(counted(keys, each[place]))
                 size += body.size
-                if sum(k.size for k, _ in held) > MERGE_KEYS:
+                if sum(k.size for k, _ in held) > kept + MERGE_KEYS:
                     held = [merged(held)]
+                    kept = held[0][0].size
                 if size >= chunk_bytes:
                     yield from flush()
-                    chunk, size, held = chunk + 1, 0, []
+                    chunk, size, held, kept = chunk + 1, 0, [], 0
         if held:
             yield from flush()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _sum(values: Column) -> Column:
@@ -249,7 +250,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
             n += batch.num_rows
-        if n >= 1 << 20:
+        if n >= 1 << 18:
             yield flush(held)
             held, n = [], 0
     if held:
@@ -275,7 +276,7 @@ def byte_ppm(docs: DataFrame, learn: Column | None = None, order: int = ORDER, c
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     values = window_costs(counts, order).unionByName(tokens.select("key", F.col("n").cast("double").alias("value")))
     answers = keys.select("chunk", "key").join(values, "key").select("chunk", "key", "value").mapInArrow(
-        _packed, "chunk long, keys binary, costs binary")
+        lean(_packed), "chunk long, keys binary, costs binary")
     texts = parts.where(F.col("key").isNull()).select("chunk", "ids", "sizes", "learn", "blob")
     both = answers.unionByName(texts, allowMissingColumns=True)
     sorted_ = both.repartition("chunk").sortWithinPartitions("chunk", F.col("blob").isNotNull())
@@ -312,4 +313,4 @@ def byte_ppm(docs: DataFrame, learn: Column | None = None, order: int = ORDER, c
             [ids, pa.array(~np.frombuffer(learned, bool)), count(owner), count(owner[n > 0]),
              pa.array(np.full(sizes.size, total, np.int64)), pa.array(base), pa.array(score)], names=names)
 
-    return sorted_.mapInArrow(run, T.StructType([T.StructField(x, k) for x, k in zip(names, kinds, strict=True)]))
+    return sorted_.mapInArrow(lean(run), T.StructType([T.StructField(x, k) for x, k in zip(names, kinds, strict=True)]))

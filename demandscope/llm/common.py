@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +63,26 @@ def stage_packed(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Free what this worker keeps between tasks: words cached by the tokenizers, and memory that nothing uses any more."""
+    if cached := sys.modules.get("demandscope.llm.tokenize"):
+        cached._ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A task that gives memory back before it starts and when it ends: a worker outlives its tasks."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are worked out once for each row: nothing is pushed or copied through the explode."""
     fresh = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_once")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandscope.llm.common import id_and_text, ship
+from demandscope.llm.common import id_and_text, lean, ship
 from demandscope.llm.words import combine, raw_bytes, slices, windows, words
 from demandscope.session import stage
 
@@ -63,7 +63,7 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> tuple[
                                          names=["bucket", "raw", "target"])
 
     raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-    counted = marked.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(
+    counted = marked.mapInArrow(lean(run), "bucket long, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     for bucket, r, t in counted.toLocalIterator():  # at most 2**bits rows
         raw[bucket], target[bucket] = r, t
@@ -140,7 +140,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
                      pa.array(~failed & (llr >= threshold)), pa.array(llr)],
                     names=[lead, *COLUMNS, "base_failed", "kept", "llr"])
 
-    return rows.mapInArrow(run, T.StructType([
+    return rows.mapInArrow(lean(run), T.StructType([
         rows.schema[lead], *(T.StructField(c, T.LongType()) for c in COLUMNS), T.StructField("base_failed", T.BooleanType()),
         T.StructField("kept", T.BooleanType()), T.StructField("llr", T.DoubleType())]))
 

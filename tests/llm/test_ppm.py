@@ -113,3 +113,12 @@ def test_rendered_and_table():
     assert (table[keys[::-1]] == np.arange(keys.size)[::-1]).all()
     with pytest.raises(KeyError):
         table[np.array([2**62 + 5])]
+
+
+def test_a_lean_task_leaves_no_words_cached():
+    """A worker keeps its modules, so another operator's cache would stay beside this one's arrays."""
+    from demandscope.llm import tokenize
+    from demandscope.llm.common import lean
+
+    tokenize._ENCODERS["left behind"] = None
+    assert list(lean(lambda batches: (x for x in batches if not tokenize._ENCODERS))([1, 2])) == [1, 2]
