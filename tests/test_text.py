@@ -104,7 +104,7 @@ def test_odd_characters_are_the_same_as_by_a_negated_class(spark):
 
 
 def test_normalisation_has_no_negated_class(spark):
-    """Java takes about 18 times as long for it; texts are normalised once, whatever is done with the lines."""
+    """Java takes many times as long for it; texts are normalised once, whatever is done with the lines."""
     from demandscope.plans import bindings
     plan = bindings.suggestions(spark, "/root/testdata/sf0.001").filter(F.col("prefix") != "x")._jdf.queryExecution().optimizedPlan().toString()
     assert "[^" not in plan and plan.count("regexp_replace") == 1
