@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from demandscope.operators.ranking import rank_within
 from demandscope.operators.series import newest_rows
@@ -12,6 +12,7 @@ from demandscope.session import Staged, stage
 
 GRAM = 3   # letters by which tokens and words meet
 HEAD = 64  # texts that a token meets first, for each text wanted
+FEW = 64   # tokens up to which every text is asked for each of them before its words are listed
 
 
 def _grams(word: str, k: int):
@@ -42,13 +43,27 @@ def holding_words(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "storefront", "word", "token")
 
 
+def _with_any(rows: DataFrame, column: Column, few: list[str] | None) -> DataFrame:
+    """The rows that have one of a few tokens in a column; all rows when there are more."""
+    return rows if few is None else rows.filter(reduce(Column.__or__, (column.contains(t) for t in few), F.lit(False)))
+
+
+def _few(tokens: DataFrame) -> list[str] | None:
+    """The different tokens, if they are few."""
+    found = [r.token for r in tokens.select("token").distinct().limit(FEW + 1).collect()]
+    return [t for t in found if t] if len(found) <= FEW else None
+
+
 def _first_of(tokens: DataFrame, numbered: DataFrame, text: str, limit: int) -> DataFrame:
     """(storefront, token, _number, _place): the first ``limit`` of the numbered texts for each token.
 
     Each word keeps only its first ``limit`` texts, which suffices: a text that is among the first of a token is among
     the first of the word that holds the token. So what meets a token is ``limit`` rows for each such word.
     """
-    parts = numbered.select("storefront", "_number", F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("word"))
+    few = _few(tokens)
+    holding = _with_any(numbered, F.lower(text), few)
+    parts = _with_any(holding.select("storefront", "_number", F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("word")),
+                      F.col("word"), few)
     words = stage(holding_words(tokens, parts.select("storefront", "word").distinct()), "holding-words")
     listed = parts.join(words.select("storefront", "word").distinct(), ["storefront", "word"], "left_semi")
     ahead = newest_rows(listed, ["storefront", "word"], [F.asc("_number")], limit).drop("_place")

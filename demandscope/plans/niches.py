@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from demandscope import labels
 from demandscope.config import THRESHOLDS as T
 from demandscope.functions.scalar import round_half_up, score_band, short_count, tenths
 from demandscope.functions.similarity import brand_signal
-from demandscope.functions.text import eligible_head
+from demandscope.functions.text import eligible_head, words
 from demandscope.operators import graph, lexicon
 from demandscope.operators.rating import with_rating
 from demandscope.operators.replies import with_defaults
@@ -186,14 +188,25 @@ def export_rows(niches: DataFrame, variants: DataFrame) -> DataFrame:
         F.array_join("flags", " ").alias("флаги"), F.coalesce("listed", F.lit("")).alias("варианты"))
 
 
-def dossiers(heads: DataFrame, suggestions: DataFrame, n_suggestions: int = 25, n_tokens: int = 20) -> DataFrame:
-    """Evidence per head term: result lines, related suggestions, common metadata tokens."""
+def dossiers(heads: DataFrame, suggestions: DataFrame, n_suggestions: int = 25, n_tokens: int = 20,
+             shared_by: Sequence[str] | None = None) -> DataFrame:
+    """Evidence per head term: result lines, related suggestions, common metadata tokens.
+
+    ``shared_by`` names the storefronts that have all suggestions in common; they are searched once for all of these.
+    """
+    heads = stage(heads, "dossier-heads")
+    asking = heads
+    if shared_by is not None:
+        asking, suggestions = (rows.withColumn("storefront", F.lit("")) for rows in (
+            heads.filter(F.col("storefront").isin(*shared_by)), suggestions))
     line = lambda a, i: F.concat_ws(
         " | ", (i + 1).cast("string"), a["title"].substr(1, 48), F.coalesce(a["rating"], F.lit(0.0)).cast("string"),
         F.coalesce(a["rating_count"], F.lit(0)).cast("string"),
         F.coalesce(F.floor(a["days_since_update"] / 30).cast("string"), F.lit("n/a")))
-    related = lexicon.related_suggestions(heads, suggestions).filter(F.col("place") <= n_suggestions).groupBy(
+    related = lexicon.related_suggestions(asking, suggestions).filter(F.col("place") <= n_suggestions).groupBy(
         "storefront", "token").agg(F.array_sort(F.collect_list(F.struct("place", "suggestion"))).alias("related"))
+    if shared_by is not None:
+        related = related.withColumn("storefront", F.explode(words(shared_by)))
     common = newest_rows(lexicon.metadata_tokens(heads), KEY, [F.desc("n"), F.asc("token")], n_tokens).groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.struct("_place", "token"))).alias("common"))
     names = lambda c, f: F.coalesce(F.array_join(F.transform(c, lambda r: r[f]), ", "), F.lit(""))
