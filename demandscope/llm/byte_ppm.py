@@ -38,7 +38,9 @@ _RENDERED[0x41:0x5B] += 0x20
 _RENDERED[0x09:0x0E] = SPACE
 _RENDERED[[PAD, END]] = OTHER
 END_TOKEN = -1  # keys of windows are not negative, those of words are below this
-MERGE_KEYS = 1 << 20  # new keys that a task holds before it merges them
+MERGE_KEYS = 1 << 19  # new keys that a task holds before it merges them
+TEXT_BYTES = BLOCK_BYTES // 4  # of text that a task works on at a time
+PACK = 64  # keys in a row for a chunk, so that a batch of rows for Python stays small
 ROWS = 100_000
 
 
@@ -65,12 +67,14 @@ def rendered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def window_keys(body: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray]]:
     """(first place, keys of the windows that end there and after it), in blocks of the body."""
-    doc = np.repeat(np.arange(sizes.size), sizes)
+    doc = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)
     padded = np.full(body.size + order * sizes.size, PAD, np.uint8)
-    padded[np.arange(body.size) + order * (doc + 1)] = body
-    for low in range(0, body.size, BLOCK_BYTES // 4):
-        high = min(body.size, low + BLOCK_BYTES // 4)
-        at = np.arange(low, high) + order * (doc[low:high] + 1)
+    places = lambda low, high: np.arange(low, high) + order * (doc[low:high] + 1)
+    blocks = [(low, min(body.size, low + TEXT_BYTES)) for low in range(0, body.size, TEXT_BYTES)]
+    for low, high in blocks:
+        padded[places(low, high)] = body[low:high]
+    for low, high in blocks:
+        at = places(low, high)
         key = np.zeros(high - low, np.int64)
         for back in range(order, -1, -1):
             key = (key << 8) | padded[at - back]
@@ -85,7 +89,7 @@ def word_keys(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.empty(start.size, np.int64)
     at = 0
     while at < start.size:
-        to = max(at + 1, int(np.searchsorted(end, start[at] + BLOCK_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(end, start[at] + TEXT_BYTES, side="right")))
         keys[at:to] = -2 - (spans_hash(body, start[at:to], end[at:to]) >> np.uint64(1)).astype(np.int64)
         at = to
     stops = np.flatnonzero(body == END)
@@ -114,14 +118,15 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * keys.size).bit_length())
-        self.place = np.full(1 << self.bits, -1, np.int64)
+        self.place = np.full(1 << self.bits, -1, np.int32)
         self.keys, self.values = keys, values
-        left, slot = np.arange(keys.size), self.slot(keys)
-        while left.size:
-            free = self.place[slot] < 0
-            self.place[slot[free]] = left[free]
-            lost = self.place[slot] != left
-            left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+        for low in range(0, keys.size, ROWS):
+            left, slot = np.arange(low, min(keys.size, low + ROWS), dtype=np.int32), self.slot(keys[low:low + ROWS])
+            while left.size:
+                free = self.place[slot] < 0
+                self.place[slot[free]] = left[free]
+                lost = self.place[slot] != left
+                left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -170,7 +175,7 @@ def gathered(rows: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
                 ids_type = batch.schema.field(0).type
                 names = pa.schema([*((x, pa.int64()) for x in ("chunk", "key", "n")), ("ids", pa.list_(ids_type)),
                                    *((x, pa.binary()) for x in ("sizes", "learn", "blob"))])
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, TEXT_BYTES):
                 body, sizes = rendered(part.column(1))
                 learn = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 yield row(1, chunk, None, None, part.column(0), sizes.astype("<i8").tobytes(), learn.tobytes(),
@@ -234,16 +239,17 @@ def window_costs(counts: DataFrame, order: int) -> DataFrame:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (chunk, key, value) as one row per chunk with its keys and values, for every few batches."""
+    """Rows of (chunk, key, value) as rows of a chunk with up to ``PACK`` keys and their values."""
     def flush(held):
         chunk, key, value = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(chunk, kind="stable")
         chunk, key, value = chunk[order], key[order], value[order]
-        cuts = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1], [True])))
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(chunk[cuts[:-1]]), pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()),
-             pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())], names=["chunk", "keys", "costs"])
+        first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+        within = np.arange(chunk.size) - np.repeat(first, np.diff(first, append=chunk.size))
+        cuts = np.append(np.flatnonzero(within % PACK == 0), chunk.size)
+        ends = pa.py_buffer((8 * cuts).astype(np.int32))
+        packed = (pa.Array.from_buffers(pa.binary(), cuts.size - 1, [None, ends, pa.py_buffer(x)]) for x in (key, value))
+        return pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]]), *packed], names=["chunk", "keys", "costs"])
 
     held, n = [], 0
     for batch in batches:
@@ -292,16 +298,16 @@ def byte_ppm(docs: DataFrame, learn: Column | None = None, order: int = ORDER, c
                 if chunk.as_py() != current:
                     current, held, table = chunk.as_py(), [], None
                 if known.is_valid:
-                    held.append((np.frombuffer(known.as_py(), np.int64), np.frombuffer(costs.as_py(), np.float64)))
+                    held.append((np.frombuffer(known.as_buffer(), np.int64), np.frombuffer(costs.as_buffer(), np.float64)))
                     continue
                 if table is None:
                     table, held = Table(*(np.concatenate(x) for x in zip(*held, strict=True))), []
-                yield scored(table, ids.values, sizes.as_py(), learned.as_py(), unpack.decompress(blob.as_py()))
+                yield scored(table, ids.values, sizes.as_py(), learned.as_py(), unpack.decompress(blob.as_buffer()))
 
     def scored(table, ids, sizes, learned, blob):
         body, sizes = np.frombuffer(blob, np.uint8), np.frombuffer(sizes, "<i8")
         ends = np.cumsum(sizes)
-        doc = np.repeat(np.arange(sizes.size), sizes)
+        doc = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)
         score = np.zeros(sizes.size)
         for low, keys in window_keys(body, sizes, order):
             score += np.bincount(doc[low:low + keys.size], table[keys], sizes.size)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -122,3 +123,32 @@ def test_a_lean_task_leaves_no_words_cached():
 
     tokenize._ENCODERS["left behind"] = None
     assert list(lean(lambda batches: (x for x in batches if not tokenize._ENCODERS))([1, 2])) == [1, 2]
+
+
+def _peak(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_one_long_text_and_a_table_take_little_memory():
+    size = 4 << 20
+    text = np.random.default_rng(1).integers(0x61, 0x7B, size).astype(np.uint8)
+    text[::7], text[-1] = ppm.SPACE, ppm.END
+    assert _peak(lambda: [0 for _ in ppm.window_keys(text, np.array([size]), ppm.ORDER)]) < 20 * size
+    assert _peak(lambda: ppm.word_keys(text)) < 24 * size
+    keys = np.arange(1_000_000) * 7919
+    assert _peak(lambda: ppm.Table(keys, keys)) < 20 * keys.size
+    assert (ppm.Table(keys, keys)[keys] == keys).all()
+
+
+def test_rows_for_a_chunk_hold_few_keys():
+    chunk, key = np.repeat([3, 1, 3], [200, 5, 100]), np.arange(305)
+    batch = pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(key), pa.array(key * 0.5)], names=["chunk", "key", "value"])
+    (out,) = ppm._packed(iter([batch]))
+    got = [(c, k, v) for c, ks, vs in zip(*out.to_pydict().values()) for k, v in zip(
+        np.frombuffer(ks, np.int64).tolist(), np.frombuffer(vs).tolist())]
+    assert sorted(got) == sorted(zip(chunk.tolist(), key.tolist(), (key * 0.5).tolist()))
+    assert max(len(k) for k in out.to_pydict()["keys"]) <= 8 * 64
