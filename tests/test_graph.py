@@ -119,6 +119,27 @@ def test_variants_equal_brute_force(spark, seed):
                      and close(squashed[a], squashed[b])}
 
 
+@pytest.mark.parametrize("seed, crowd", [(10, 2), (11, 8)])
+def test_crowded_keys_are_cut_further(spark, seed, crowd):
+    """Half of the forms share eight letters: few pairs of them meet, and none of the close ones is lost."""
+    rng = random.Random(seed)
+    tail = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    forms = sorted({("opening-" if k % 2 else "") + tail(8 + k % 3) for k in range(300)}
+                   | {t.replace("meter", "metre") + tail(k % 2) for k in range(2) for t in map(squashed_plain, random_terms(seed, 60))})
+    near = rng.sample([f for f in forms if f.startswith("opening-")], 40)
+    forms = sorted({*forms, *(f[:9] + f[10:] for f in near), *(f[:12] + "k" + f[13:] for f in near)})
+    df = spark.createDataFrame([("us", f) for f in forms], "storefront string, squashed string")
+    met = variants._meetings(*variants._sides(df, 88), crowd)
+    assert met.count() < len(forms) * 40 < 150 * 150
+    got = [tuple(sorted((r.longer, r.shorter))) for r in variants.close_forms(df, crowd=crowd).collect()]
+    assert len(got) == len(set(got)) and set(got) == {
+        (a, b) for a in forms for b in forms if a < b and close(a, b)}
+
+
+def squashed_plain(term):
+    return term.replace(" ", "")
+
+
 def test_spelling_variants_collapse(spark):
     df = spark.createDataFrame([("us", t) for t in ("noise meter", "noisemeter", "noise metre", "decibel meter")],
                                "storefront string, term string")
