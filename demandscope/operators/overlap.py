@@ -116,7 +116,10 @@ def _fold(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = ["storefront", "items", "lead_key"]
     distinct = stage(prints.groupBy(*same).agg(
         F.min("term").alias("term"), F.first("leader").alias("leader"), F.first("size").alias("size")), "folded")
-    folded = stage(_ranked_items(distinct).join(_sizes(distinct), "storefront"), "ranked-lists")
+    # spread: the rows made of a list are hundreds of times its size
+    ranked = _ranked_items(distinct).join(_sizes(distinct), "storefront").repartition(
+        2 * lists.sparkSession.sparkContext.defaultParallelism)
+    folded = stage(ranked.withColumn("id", F.monotonically_increasing_id()), "ranked-lists")
     copies = (
         prints.select(*same, F.col("term").alias("b"), "size")
         .join(folded.select(*same, F.col("term").alias("a")).hint("merge"), same).filter(F.col("a") != F.col("b"))
@@ -161,18 +164,29 @@ def _subset_links(folded: DataFrame, hot_degree: int, overlap: float, same_leade
     if same_leader:  # a leader that is not hot is a shared item by which the ordinary join finds the pair
         crowd = crowd.filter(~F.array_contains("items", F.col("leader")) | F.array_contains("hot", F.col("leader")))
     own = F.filter(options[F.size("hot").cast("string")], lambda o: (o["m"] <= F.col("size")) & F.array_contains("sizes", o["m"]))
-    subsets = F.transform(own, lambda o: F.struct(
-        o["m"].alias("m"), F.transform(o["places"], lambda i: F.element_at("hot", i)).alias("items")))
-    keys = ["storefront", "m", "subset"]
-    if same_leader:
-        keys.append("leader")
-        holds = F.array_contains("hot", F.col("leader"))
-        subsets = F.filter(subsets, lambda s: ~holds | F.array_contains(s["items"], F.col("leader")))
-    keyed = crowd.select("storefront", "term", "size", "leader", F.explode(subsets).alias("s")).select(
-        "storefront", "term", "size", "leader", F.col("s.m").alias("m"), F.col("s.items").alias("subset"))
-    anchors = keyed.filter(F.col("size") == F.col("m")).groupBy(*keys).agg(F.min("term").alias("a"))
-    return keyed.join(anchors.hint("merge"), keys).filter(F.col("term") != F.col("a")).select(
-        "storefront", "a", F.col("term").alias("b")).distinct()
+    # 128 bits stand for storefront, size and items (and leader): rows of fixed width are sorted and grouped faster than arrays
+    keys = ["key", "check"]
+    what = ["storefront", "leader", "s"] if same_leader else ["storefront", "s"]
+    holds = F.array_contains("hot", F.col("leader"))
+
+    def rows(chosen: Column) -> DataFrame:
+        subsets = F.transform(chosen, lambda o: F.struct(
+            o["m"].alias("m"), F.transform(o["places"], lambda i: F.element_at("hot", i)).alias("items")))
+        if same_leader:
+            subsets = F.filter(subsets, lambda s: ~holds | F.array_contains(s["items"], F.col("leader")))
+        return crowd.select("storefront", "id", "leader", F.explode(subsets).alias("s")).select(
+            F.xxhash64(*what).alias("key"), F.xxhash64(F.lit(1), *what).alias("check"), "id")
+
+    keyed = rows(own)
+    anchors = rows(F.filter(own, lambda o: o["m"] == F.col("size"))).groupBy(*keys).agg(F.min("id").alias("a"))
+    stars = keyed.join(anchors.hint("merge"), keys).filter(F.col("id") != F.col("a")).select(
+        "a", F.col("id").alias("b")).distinct()
+    names = folded.select("id", "storefront", "term")
+    return (
+        stars.join(names.select(F.col("id").alias("a"), "storefront", F.col("term").alias("anchor")).hint("merge"), "a")
+        .join(names.select(F.col("id").alias("b"), "term").hint("merge"), "b")
+        .select("storefront", F.col("anchor").alias("a"), F.col("term").alias("b"))
+    )
 
 
 def cluster_links(lists: DataFrame, overlap: float = T.cluster_overlap,

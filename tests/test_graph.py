@@ -94,6 +94,14 @@ def test_hub_links_stay_linear(spark):
     assert graph.components(links).select("root").distinct().count() == 1
 
 
+def test_hub_lists_are_spread(spark):
+    """The rows made of crowded lists come from as many tasks as there are cores, and the lists are worked out once."""
+    table = {("us", f"crowd {k:04d}"): [1, 2, 3, 4, 5, 6, 1000 + k, 2000 + k, 3000 + k, 4000 + k] for k in range(100)}
+    folded, _ = overlap._fold(lists_of(spark, table))
+    assert folded.select("id").distinct().count() == folded.count() == 100
+    assert folded.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
 def random_terms(seed, n):
     rng = random.Random(seed)
     words = ["noise", "meter", "metre", "scan", "scanner", "documents", "photo", "compress", "pdf", "x", "image"]
