@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from demandscope.operators import graph, overlap, variants
 from demandscope.plans.niches import niche_clusters
+from demandscope.session import Staged
 from tests.brute import close, greedy_heads, link_groups, linked
 
 LISTS = "storefront string, term string, apps array<struct<track_id: bigint>>"
@@ -155,6 +156,22 @@ def test_spelling_variants_collapse(spark):
     assert heads == {"noisemeter", "decibel meter"}
 
 
+def test_rounds_hold_linked_terms_only(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, label, **metrics):
+        if label == "heads":
+            sizes.append(df.count())
+        return Staged(df, label, **metrics)
+
+    monkeypatch.setattr(variants, "Staged", counted)
+    df = spark.createDataFrame([("us", t) for t in ("noise meter", "noisemeter", "decibel meter", "scan pdf", "-", "to do", "s s")],
+                               "storefront string, term string")
+    heads = {r.term: r.head for r in variants.variant_heads(df).collect()}
+    assert heads == {"noise meter": "noisemeter", "noisemeter": "noisemeter", **{t: t for t in ("decibel meter", "scan pdf", "-", "to do", "s s")}}
+    assert sizes and set(sizes) == {2}
+
+
 def test_cross_storefront_merge(spark):
     heads = spark.createDataFrame([
         ("us", "c1", "resize image", 40.0, 2), ("gb", "c2", "resize image", 55.0, 1), ("ca", "c3", "resize image", 30.0, 3),
